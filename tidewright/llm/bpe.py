@@ -35,7 +35,7 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p
 #: Characters that str.split() takes for white space and the tokenizer does not.
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Remembered words or pairs in a task.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -171,7 +171,8 @@ class SpeculativeBpe:
         """Encode chunks that have not been seen."""
         if len(self.chunk) + len(new) > REMEMBERED:
             self.chunk.clear()
-        cut = {c: ["".join(map(self.letter.__getitem__, p.encode())) for p in _PIECES.findall(c)] for c in new}
+        letter = self.letter.__getitem__
+        cut = {c: [p if p.isascii() and p.isprintable() else "".join(map(letter, p.encode())) for p in _PIECES.findall(c)] for c in new}
         ids = self.words(list({w for ws in cut.values() for w in ws}))
         for c, ws in cut.items():
             got = [i for w in ws for i in ids[w]]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, classifier, secrets
+from tidewright.llm import bpe, classifier, fingerprint, mixing, rules, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(documents(spark, sf_dir), mixing.Target(repetition=2.0))
+    return mixed.select("doc_id", "source", "epoch", "mix_weight", "mix_place")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classifier.score(docs, classifier.train(docs, labels))
@@ -35,11 +40,27 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(documents(spark, sf_dir))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_quality_classifier": op2_quality_classifier,
         "op5_bpe": op5_bpe,
         "op6_secret_scan": op6_secret_scan,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_fingerprint": op8_fingerprint,
+        "op10_sharding": op10_sharding,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, classifier, fingerprint, mixing, rules, secrets, sharding
+from tidewright.llm import bpe, classifier, fingerprint, mixing, rules, secrets, sharding, substring, suffixtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, labels))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -48,6 +52,10 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.dedup_words(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -56,10 +64,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_bpe": op5_bpe,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_fingerprint": op8_fingerprint,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_sharding": op10_sharding,
     }
 

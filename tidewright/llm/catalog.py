@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, classifier, fingerprint, mixing, rules, secrets, sharding, substring, suffixtree
+from tidewright.llm import bpe, classifier, fingerprint, jaccard, mixing, rules, secrets, sharding, substring, suffixtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op1_mixing": op1_mixing,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_bpe": op5_bpe,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,

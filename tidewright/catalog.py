@@ -5,23 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidewright.queries import functions, joins, rows, rules, state, windows  # noqa: F401  they register themselves
+from tidewright.queries.registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, keyed tumbling window and inline aggregates over the event stream."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return (
-        events.where(F.col("event_type") == "purchase")
-        .groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "user_id")
-        .agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-        .select(F.col("w.start").alias("window_start"), "user_id", "n", "total")
-    )
+    return QUERIES["tumbling_keyed"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

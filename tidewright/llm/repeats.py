@@ -140,11 +140,12 @@ def firsts(rule: Rule, doc: np.ndarray, place: np.ndarray, *keys: np.ndarray) ->
     for k in keys:
         k = k[order]
         fresh[1:] |= k[1:] != k[:-1]
-    if rule.within:
-        return order, ~fresh
-    group = np.cumsum(fresh) - 1
-    ranked = doc[order]
-    return order, ranked > ranked[np.flatnonzero(fresh)[group]]
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(order) else order
+    doc, place = doc[order], place[order]
+    later = doc > doc[head]
+    if rule.within:  # another row of the very document and place is no other window
+        later |= (doc == doc[head]) & (place > place[head])
+    return order, later
 
 
 def send_anchors(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int) -> DataFrame:

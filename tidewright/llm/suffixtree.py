@@ -1,13 +1,14 @@
 """Substring dedup over words by prefix-partitioned suffix trees.
 
 Suffixes (over words, down to the depth of a window) are split by prefixes of
-variable length: first by the few words of their anchor (see repeats), which
-makes small groups; a group of one neighbourhood is a leaf and needs no tree.
-In the others the prefix is extended to the full depth, so that even a very
-frequent short prefix falls apart into small groups.  A group's tree is held as
-path hashes: a node at the depth of a window is the hash of its path, and a
-deep internal node is one with two leaves or more, a repeat; its earliest leaf
-stays.  Neighbouring repeats join to maximal ones when intervals are united.
+variable length: by the few words of their anchor (see repeats), which makes
+small groups, and where a group would be overfull by the whole window, which
+breaks up even a very frequent short prefix.  A group of one neighbourhood is
+a leaf and needs no tree.  For each of the others the tree is grown from the
+top: a node's suffixes are split by their next word, a suffix alone is a leaf
+and is left, and a node that still has two leaves or more at the depth of a
+window is a deep internal node, a repeat; its earliest leaf stays.  Uniting
+neighbouring repeats of a document gives the maximal ones.
 
 Defined results: as in repeats; an empty table gives no rows; extra columns
 are not read.
@@ -16,15 +17,18 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewright.llm.repeats import Rule, apply_intervals, compare_anchors, covered, housed, refine_anchors, send_anchors, sizes
+from tidewright.llm.repeats import Rule, apply_intervals, compare_anchors, covered, firsts, housed, pack, refine_anchors, send_anchors, sizes, spread, unpack
 from tidewright.llm.textkernel import byte_symbols, flat, prefix_hash, span_hash, word_bounds
 
 RULE = Rule(length=20, q=6, within=True)
+#: Open neighbourhoods of one anchor beyond which the prefix is extended to the whole window; neighbourhoods of trees grown together.
+LARGE, TOGETHER = 50_000, 60_000
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -33,6 +37,59 @@ def symbols(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_hash(byte_symbols(buf)), starts, ends), first
 
 
+def gather(rule: Rule, batch: pa.RecordBatch, off: np.ndarray, ids: np.ndarray, place: np.ndarray, rest: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, str, bytes]]:
+    """The words around every open anchor, for the group of its prefix."""
+    word, _ = symbols(*flat(batch.column(1)))
+    d = np.searchsorted(off, place, "right") - 1
+    left = np.minimum(place - off[d], rule.reach - 1)
+    right = np.minimum(off[d + 1] - place, rule.length)
+    for bucket, some in spread(rest["bucket"].astype(np.int64), buckets):
+        some = some[np.argsort(rest["gram"][some], kind="stable")]
+        columns = {}
+        for i, step in enumerate(range(-(rule.reach - 1), rule.length)):
+            inside = (step >= -left[some]) & (step < right[some])
+            columns[f"w{i}"] = np.where(inside, word[np.where(inside, place[some] + step, 0)], np.uint64(0))
+        yield bucket, "gathered", pack(doc=ids[d[some]], place=(place - off[d])[some].astype(np.uint32), gram=rest["gram"][some], left=left[some].astype(np.uint8), right=right[some].astype(np.uint8), **columns)
+
+
+def grow(rule: Rule, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Document and start of the windows that are not the earliest leaf of their deep internal node."""
+    a = unpack(blobs)
+    order = np.argsort(a["gram"], kind="stable")
+    a = {k: v[order] for k, v in a.items()}
+    cuts = np.flatnonzero(np.concatenate([[True], a["gram"][1:] != a["gram"][:-1]]))
+    # groups are grown together up to a number of neighbourhoods
+    starts, at = [0], 0
+    for c in [*cuts[1:].tolist(), len(order)]:
+        if c - starts[-1] > TOGETHER and at > starts[-1]:
+            starts.append(at)
+        at = c
+    found = [_tree(rule, {k: v[s:e] for k, v in a.items()}) for s, e in zip(starts, [*starts[1:], len(order)])]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _tree(rule: Rule, a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    reach, length = rule.reach, rule.length
+    words = np.stack([a[f"w{i}"] for i in range(reach - 1 + length)], axis=1)
+    shift_ok = (np.arange(reach) >= reach - 1 - a["left"].astype(int)[:, None]) & (np.arange(reach) + length <= reach - 1 + a["right"].astype(int)[:, None])
+    row, shift = np.nonzero(shift_ok)
+    node = a["gram"][row].astype(np.int64) * reach + shift
+    for depth in range(length):
+        if not len(row):
+            break
+        word = words[row, shift + depth]
+        order = np.lexsort((word, node))
+        row, shift, node, word = row[order], shift[order], node[order], word[order]
+        child = np.concatenate([[True], (node[1:] != node[:-1]) | (word[1:] != word[:-1])])
+        node = np.cumsum(child) - 1
+        stay = np.bincount(node)[node] > 1
+        row, shift, node = row[stay], shift[stay], node[stay]
+    doc, start = a["doc"][row], a["place"][row].astype(np.int64) - (reach - 1) + shift
+    order, later = firsts(rule, doc, start, node)
+    at = order[later]
+    return doc[at], start[at]
+
+
 def _finish(batch: pa.RecordBatch, ids: np.ndarray, found: dict[str, np.ndarray]) -> pa.RecordBatch:
     buf, off = flat(batch.column(1))
     starts, ends, first = word_bounds(buf, off)
@@ -51,11 +108,11 @@ def _finish(batch: pa.RecordBatch, ids: np.ndarray, found: dict[str, np.ndarray]
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(np.diff(removed[first])), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def dedup_words(docs: DataFrame) -> DataFrame:
+def dedup_words(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """Digest of every text without the words of 20-word windows that came earlier."""
     buckets, homes = sizes(docs)
     home_docs = housed(docs, homes)
     sent = send_anchors(home_docs.select("doc_id", "text"), symbols, RULE, buckets)
-    compared = compare_anchors(sent, RULE, homes, 0)
-    found = refine_anchors(home_docs, compared, symbols, RULE, buckets, homes, None, None)
+    compared = compare_anchors(sent, RULE, homes, large)
+    found = refine_anchors(home_docs, compared, symbols, RULE, buckets, homes, gather, grow)
     return apply_intervals(home_docs, found, _finish, SCHEMA)

@@ -1,13 +1,19 @@
-"""Connected components of a graph of document ids, by minimum labels with pointer jumping."""
+"""Connected components of a graph of document ids, by contraction to least neighbours."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.store import cut
 
+#: Edges that a task takes together.
+HELD = 1 << 21
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the edges and the least node that each is connected to; for edges inside one task."""
@@ -27,21 +33,53 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """As few edges (a, b) as a task can say the same connections with; edges meet by `a`, in parts of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= HELD:
+                yield _forest_rows(held)
+                held, size = [], 0
+        if size:
+            yield _forest_rows(held)
+
+    return edges.select("a", "b").repartition("a").mapInArrow(run, "a bigint, b bigint")
+
+
+def _forest_rows(held: list) -> pa.RecordBatch:
+    node, root = forest(*(np.concatenate(x) for x in zip(*held)))
+    moved = node != root
+    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(root[moved])], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of the edges (a, b): the least node reachable from it.
+    """(node, label) for every node of the edges (a, b) with another one: the least node reachable from it.
 
-    Each round takes the least label among the neighbours and then the label
-    of that label, so paths shrink fast; rows are written between rounds.
+    In each round every node takes the least node near it as its parent (and
+    that one's parent), and edges go on between parents, so the graph shrinks
+    by at least half; rows are written between rounds.
     """
-    pairs = edges.where("a <> b").select("a", "b")
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = stepped.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        moved = cut(moved)
-        if not moved.where("label <> old").limit(1).count():
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
+    left = cut(_plain(contracted(edges)))
+    labels = None
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("p"))
+        next_ = near.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        parent = cut(near.join(next_, "p").select("node", F.least("p", "pp").alias("p")))
+        if labels is None:
+            labels = parent.withColumnRenamed("p", "label")
+        else:
+            moved = parent.select(F.col("node").alias("label"), "p")
+            labels = cut(labels.join(moved, "label", "left").select("node", F.coalesce("p", "label").alias("label")))
+        a, b = (parent.select(F.col("node").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
+        left = cut(_plain(left.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
+    return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    """Each edge once, none from a node to itself."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

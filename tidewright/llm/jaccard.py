@@ -316,7 +316,7 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
 def link_components(docs: DataFrame, join: Join) -> DataFrame:
     """(node, label) of every document that has links."""
     buckets, homes = sizes(docs)
-    edges = cut(candidates(docs, join, buckets).distinct())
+    edges = cut(candidates(docs, join, buckets))
     # copies of a set hold families together, but only the first of them is compared
     copies = edges.where("same").select(F.col("a").alias("node")).distinct()
     families = cut(components(edges.select("a", "b")).join(copies, "node", "left_anti"))

@@ -106,7 +106,8 @@ def guard(df: DataFrame, checks: Sequence[Check], handling: OnError) -> tuple[Da
     bad = F.size("errors") > 0
     if handling.action == "raise":
         text = F.concat_ws("; ", "errors")
-        return judged.withColumn("errors", F.when(bad, F.raise_error(text).cast("array<string>")).otherwise(F.col("errors"))).drop("errors"), judged.where(F.lit(False))
+        # in a filter, so that no projection can leave the error out
+        return judged.where(F.when(bad, F.raise_error(text).cast("boolean")).otherwise(True)).drop("errors"), judged.where(F.lit(False))
     if handling.action == "default":
         mended = judged
         for name, value in (handling.default or {}).items():

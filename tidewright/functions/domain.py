@@ -46,6 +46,26 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+#: Letters of the geohash alphabet.
+GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def geohash(lat: Column, lon: Column, letters: int = 6) -> Column:
+    """Geohash by interleaving the bits of longitude and latitude."""
+    bits = 5 * letters
+    east, north = (bits + 1) // 2, bits // 2
+    x = F.least(F.floor((lon + 180) / 360 * (1 << east)), F.lit((1 << east) - 1)).cast("bigint")
+    y = F.least(F.floor((lat + 90) / 180 * (1 << north)), F.lit((1 << north) - 1)).cast("bigint")
+    out = []
+    for i in range(letters):
+        value = F.lit(0)
+        for k in range(5 * i, 5 * i + 5):  # even places are longitude, from the highest bit down
+            source, width = (x, east) if k % 2 == 0 else (y, north)
+            value = value * 2 + F.shiftright(source, width - 1 - k // 2).bitwiseAND(F.lit(1).cast("bigint"))
+        out.append(F.substr(F.lit(GEOHASH), (value + 1).cast("int"), F.lit(1)))
+    return F.concat(*out)
+
+
 def impossible_travel(km: Column, hours: Column, km_per_hour: float = 900.0) -> Column:
     return km > hours * km_per_hour
 

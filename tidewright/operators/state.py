@@ -104,6 +104,14 @@ def phase(df: DataFrame, time: str, markers: DataFrame, after: str | None = None
     return df
 
 
+def with_markers(df: DataFrame, time: str, markers: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Adds `fired_<name>` for each marker: whether it had fired by the row's time. Cells of a decision table can judge these."""
+    one = markers.groupBy().agg(*(F.min(F.when(F.col("marker") == n, F.col("at"))).alias(f"_{n}") for n in names))
+    # one row by construction
+    out = df.crossJoin(F.broadcast(one))
+    return out.withColumns({f"fired_{n}": F.coalesce(F.col(time) >= F.col(f"_{n}"), F.lit(False)) for n in names}).drop(*(f"_{n}" for n in names))
+
+
 def poison(df: DataFrame, keys: Sequence[str], time: str, failed: Column, times: int, seconds: int, into: str = "poison") -> DataFrame:
     """Whether a key has failed `times` times within the last `seconds`."""
     w = Window.partitionBy(*keys).orderBy(F.unix_seconds(F.col(time).cast("timestamp"))).rangeBetween(-seconds, 0)

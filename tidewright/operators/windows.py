@@ -114,6 +114,11 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def top_values(value: Column, k: int) -> Column:
+    """The k greatest values of a group, greatest first."""
+    return F.slice(F.reverse(F.array_sort(F.collect_list(value))), 1, k)
+
+
 def latest_by(value: Column, offset: Column) -> Column:
     return F.max_by(value, offset)
 

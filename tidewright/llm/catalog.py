@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, classifier, fingerprint, jaccard, mixing, rules, secrets, sharding, substring, suffixtree
+from tidewright.llm import bpe, classifier, fingerprint, jaccard, mixing, oracles, rules, secrets, sharding, substring, suffixtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,4 +80,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say an operator's rows; the others are tested against plain versions."""
+    return {"op3_substring_dedup": oracles.SUBSTRINGS, "op4_jaccard_join": oracles.JACCARD, "op9_suffix_dedup": oracles.WORDS}

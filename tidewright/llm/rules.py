@@ -33,8 +33,8 @@ SYMBOLS, WINDOW, LEAST_WORDS, REPEATED_PERCENT = b"#*$%&|<>", 5, 10, 20
 STATS = {"x_len": 1.2, "x_word": 0.12, "x_sign": 0.35, "x_lines": 0.12, "x_repeat": 0.25, "x_upper": 0.08}
 #: Share of rows in the subset, concentration steps, bins of a step, rows below which a group has no verdict.
 SUBSET, C_STEPS, BINS, LEAST_ROWS = 0.75, 4, 48, 40
-#: Squared distance beyond which a document is rejected: the chi-squared quantile (6 degrees) that one row in ten million exceeds is 45.
-CUTOFF = 60.0
+#: Squared distance beyond which a document is rejected: of a chi-squared variable with 6 degrees, one in twenty million is larger.
+CUTOFF = 45.0
 #: Median of the chi-squared distribution with 6 degrees, for consistency.
 CHI2_MEDIAN = 5.348
 #: Groups whose estimates are broadcast; beyond, they are joined by shuffle.

@@ -37,8 +37,6 @@ def cases():
         "remove at": (b.remove_at(F.array(F.lit(1), F.lit(2), F.lit(3)), 1), [1, 3]), "set at": (b.set_at(F.array(F.lit(1), F.lit(2)), 0, F.lit(9)), [9, 2]), "symmetric": (b.symmetric_difference(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))), [1, 3]),
         "map get": (b.map_get_or(M, "z", 5), 5), "map put": (b.map_put(M, "a", 9), {"a": 9}), "map remove": (b.map_remove(M, "a"), {}), "invert": (b.map_invert(M), {1: "a"}),
         "truncate": (b.truncate(F.lit(-2.79), 1), -2.7), "clamp": (b.clamp(F.lit(12), 0, 10), 10), "change of 0": (b.percent_change(F.lit(0.0), F.lit(1.0)), None), "capitalize": (b.capitalize(F.lit("hELLO")), "Hello"), "first only": (b.replace_first(S, "l", "L"), "HeLlo"), "index of": (b.index_of(S, "z"), -1),
-        "luhn": (dm.luhn_valid(F.lit("4539578763621486")), True), "luhn null": (dm.luhn_valid(N), False), "pan": (dm.mask_pan(F.lit("4539578763621486")), "453957******1486"), "expired": (dm.is_expired(F.lit(2), F.lit(2024), D), True), "not yet": (dm.is_expired(F.lit(3), F.lit(2024), D), False),
-        "network": (dm.network(F.lit("371449635398431")), "amex"), "late fee": (dm.late_fee(F.lit(9), 5, 30.0, F.lit(12.0)), 12.0), "z of 0": (dm.z_score(F.lit(1.0), F.lit(0.0), F.lit(0.0)), None),
     }
 
 

@@ -1,4 +1,4 @@
-"""Card, finance, risk and calendar functions, as Column expressions."""
+"""Places and the business calendar, as Column expressions and small joins."""
 
 from __future__ import annotations
 
@@ -7,38 +7,6 @@ from pyspark.sql import functions as F
 
 #: Kilometres.
 EARTH_RADIUS_KM = 6371.0
-#: Card networks by leading digits.
-NETWORKS = (("visa", "^4"), ("mastercard", "^(5[1-5]|2[2-7])"), ("amex", "^3[47]"), ("discover", "^6(011|5)"))
-
-
-def luhn_valid(pan: Column) -> Column:
-    """Digits only and the check digit is right; false for a null."""
-    return F.coalesce(F.call_function("luhn_check", pan), F.lit(False))
-
-
-def mask_pan(pan: Column) -> Column:
-    """First six and last four digits stay."""
-    return F.concat(F.left(pan, F.lit(6)), F.repeat(F.lit("*"), F.greatest(F.length(pan) - 10, F.lit(0))), F.right(pan, F.lit(4)))
-
-
-def bin_of(pan: Column, digits: int = 6) -> Column:
-    return F.left(pan, F.lit(digits))
-
-
-def last_four(pan: Column) -> Column:
-    return F.right(pan, F.lit(4))
-
-
-def network(pan: Column) -> Column:
-    out = F.lit("unknown")
-    for name, pattern in reversed(NETWORKS):
-        out = F.when(pan.rlike(pattern), name).otherwise(out)
-    return out
-
-
-def is_expired(month: Column, year: Column, on: Column) -> Column:
-    """A card is good until its month ends."""
-    return F.last_day(F.make_date(year, month, F.lit(1))) < F.to_date(on)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -66,44 +34,6 @@ def geohash(lat: Column, lon: Column, letters: int = 6) -> Column:
     return F.concat(*out)
 
 
-def impossible_travel(km: Column, hours: Column, km_per_hour: float = 900.0) -> Column:
-    return km > hours * km_per_hour
-
-
-def utilization(balance: Column, limit: Column) -> Column:
-    return F.try_divide(balance * 100, limit)
-
-
-def daily_interest(balance: Column, annual_rate: Column, days: Column) -> Column:
-    return balance * annual_rate / 365 * days
-
-
-def late_fee(days_late: Column, grace: int, flat: float, capped: Column) -> Column:
-    """A flat fee after the grace days, never more than what is owed."""
-    return F.when(days_late > grace, F.least(F.lit(flat), capped)).otherwise(0.0)
-
-
-def minimum_payment(balance: Column, share: float, least: float) -> Column:
-    return F.least(balance, F.greatest(balance * share, F.lit(least)))
-
-
-def z_score(value: Column, mean: Column, deviation: Column) -> Column:
-    return F.try_divide(value - mean, deviation)
-
-
-def odd_hour(t: Column, first: int = 0, last: int = 5) -> Column:
-    return F.hour(t).between(first, last)
-
-
-def composite_score(parts: list[tuple[Column, float]]) -> Column:
-    """Weighted sum, clamped to 0..100."""
-    return F.least(F.greatest(sum((p * w for p, w in parts), F.lit(0.0)), F.lit(0.0)), F.lit(100.0))
-
-
-def convert(amount: Column, rate: Column) -> Column:
-    return F.round(amount * rate, 2)
-
-
 # -- business calendar ----------------------------------------------------------
 def calendar(spark, start: str, end: str, holidays: list[str] = ()) -> DataFrame:
     """One row a day, with a dense index of business days: `day`, `is_business`, `nth` (business days up to and with it)."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewright.functions import builtin as b
+from tidewright.functions import cards, finance, risk
 from tidewright.functions import domain as dm
 from tidewright.functions import runtime as rt
 from tidewright.queries.registry import Tables, query
@@ -54,10 +55,10 @@ def fn_bizdays(t: Tables):
     return dm.business_days_between(o, days, "o_orderdate", "later", "gap").select("o_orderkey", rt.business_date(F.col("o_orderdate")).alias("biz"), rt.is_business_day(F.col("o_orderdate")).alias("is_biz"), F.col("gap").cast("bigint").alias("gap"))
 
 
-@query("""SELECT c_custkey, ROUND(b * 0.05 * 2, 6) AS simple, ROUND(b * POW(1 + 0.06 / 12, 24) - b, 4) AS compound, ROUND((1000 - b) * 100 / NULLIF(b, 0), 6) AS change, LEAST(b, GREATEST(b * 0.02, 25.0)) AS least, ROUND(b * 100 / 10000, 8) AS used FROM (SELECT c_custkey, c_acctbal AS b FROM customer)""")
+@query("""SELECT c_custkey, ROUND(b * 0.05 * 2, 6) AS simple, ROUND(b * POW(1 + 0.06 / 12, 24) - b, 4) AS compound, ROUND((1000 - b) * 100 / NULLIF(b, 0), 6) AS change, CASE WHEN b <= 0 THEN 0.0 ELSE LEAST(b, GREATEST(b * 0.02, 25.0)) END AS least, ROUND(b * 100 / 10000, 8) AS used FROM (SELECT c_custkey, c_acctbal AS b FROM customer)""")
 def fn_percent_interest(t: Tables):
     v = F.col("c_acctbal")
-    return t.customer.select("c_custkey", F.round(b.simple_interest(v, F.lit(0.05), F.lit(2)), 6).alias("simple"), F.round(b.compound_interest(v, F.lit(0.06), F.lit(2), 12), 4).alias("compound"), F.round(b.percent_change(v, F.lit(1000)), 6).alias("change"), dm.minimum_payment(v, 0.02, 25.0).alias("least"), F.round(dm.utilization(v, F.lit(10000)), 8).alias("used"))
+    return t.customer.select("c_custkey", F.round(b.simple_interest(v, F.lit(0.05), F.lit(2)), 6).alias("simple"), F.round(b.compound_interest(v, F.lit(0.06), F.lit(2), 12), 4).alias("compound"), F.round(b.percent_change(v, F.lit(1000)), 6).alias("change"), finance.minimum_payment(v, 0.02, 25.0, F.lit(0.0), F.lit(0.0)).alias("least"), F.round(finance.utilization(v, F.lit(10000)), 8).alias("used"))
 
 
 @query("""SELECT vec_id, len(e) AS n, e[1] AS first, e[len(e)] AS last, ROUND(CAST(list_max(e) AS DOUBLE), 5) AS hi, len(list_filter(e, lambda x: x > 0)) AS pos, ROUND(CAST(e[3] AS DOUBLE), 5) AS third, len(list_filter(e, lambda x: x > 10)) > 0 AS anybig FROM (SELECT vec_id, embedding AS e FROM embeddings)""")
@@ -121,7 +122,7 @@ def hash_mask(t: Tables):
 FROM (SELECT c_custkey, pan, [CAST(x AS INT) FOR x IN string_split(reverse(pan), '')] AS digits FROM (SELECT c_custkey, '4' || LPAD(CAST((c_custkey * 7919 + 13) % 1000000000 AS VARCHAR), 15, '0') AS pan FROM customer))""")
 def domain_luhn(t: Tables):
     pan = F.concat(F.lit("4"), F.lpad(((F.col("c_custkey") * 7919 + 13) % 1000000000).cast("string"), 15, "0"))
-    return t.customer.select("c_custkey", dm.luhn_valid(pan).alias("luhn"), dm.mask_pan(pan).alias("masked"))
+    return t.customer.select("c_custkey", cards.luhn_validate(pan).alias("luhn"), cards.mask_pan(pan).alias("masked"))
 
 
 @query("""SELECT s_suppkey, ROUND(2 * 6371.0 * ASIN(SQRT(POW(SIN(RADIANS(lat - 50) / 2), 2) + COS(RADIANS(50)) * COS(RADIANS(lat)) * POW(SIN(RADIANS(lon - 8) / 2), 2))), 5) AS km FROM (SELECT s_suppkey, CAST(s_suppkey % 90 AS DOUBLE) AS lat, CAST(s_suppkey % 180 AS DOUBLE) AS lon FROM supplier)""")
@@ -130,7 +131,30 @@ def domain_haversine(t: Tables):
     return t.supplier.select("s_suppkey", F.round(dm.haversine_km(F.lit(50.0), F.lit(8.0), lat, lon), 5).alias("km"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'visa' WHEN c_custkey % 4 = 1 THEN 'mastercard' WHEN c_custkey % 4 = 2 THEN 'amex' ELSE 'unknown' END AS network, ROUND(LEAST(GREATEST(c_acctbal / 100 * 0.5 + c_custkey % 50 * 0.4, 0.0), 100.0), 6) AS score FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'visa' WHEN c_custkey % 4 = 1 THEN 'mastercard' WHEN c_custkey % 4 = 2 THEN 'amex' END AS network, ROUND((LEAST(GREATEST(c_acctbal / 100, 0.0), 100.0) * 0.5 + c_custkey % 50 * 0.5), 6) AS score,
+CASE WHEN LEAST(GREATEST(c_acctbal / 100, 0.0), 100.0) * 0.5 + c_custkey % 50 * 0.5 <= 30 THEN 'low' WHEN LEAST(GREATEST(c_acctbal / 100, 0.0), 100.0) * 0.5 + c_custkey % 50 * 0.5 <= 60 THEN 'medium' WHEN LEAST(GREATEST(c_acctbal / 100, 0.0), 100.0) * 0.5 + c_custkey % 50 * 0.5 <= 80 THEN 'high' ELSE 'critical' END AS level FROM customer""")
 def domain_network_score(t: Tables):
-    pan = F.element_at(F.array(*(F.lit(x) for x in ("4000", "5500", "3400", "9000"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return t.customer.select("c_custkey", dm.network(pan).alias("network"), F.round(dm.composite_score([(F.col("c_acctbal") / 100, 0.5), (F.col("c_custkey") % 50, 0.4)]), 6).alias("score"))
+    pan = F.element_at(F.array(*(F.lit(x) for x in ("4532015112830366", "5500005555555559", "371449635398431", "9000"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    score = risk.weighted_score([risk.normalize_score(F.col("c_acctbal"), 0, 10000), F.col("c_custkey") % 50], [0.5, 0.5])
+    return t.customer.select("c_custkey", cards.identify_card_network(pan).alias("network"), F.round(score, 6).alias("score"), risk.risk_level(score).alias("level"))
+
+
+@query("""SELECT c_custkey, ROUND(c_acctbal * 0.18 / 365 * 30, 8) AS interest, CASE WHEN c_acctbal * 0.05 < 10 THEN 10.0 WHEN c_acctbal * 0.05 > 50 THEN 50.0 ELSE c_acctbal * 0.05 END AS fee,
+CASE WHEN c_acctbal / 100 <= 10 THEN 'excellent' WHEN c_acctbal / 100 <= 30 THEN 'good' WHEN c_acctbal / 100 <= 50 THEN 'fair' WHEN c_acctbal / 100 <= 75 THEN 'high' WHEN c_acctbal / 100 <= 100 THEN 'critical' ELSE 'overlimit' END AS tier,
+CAST(ROUND(c_acctbal * 100) AS BIGINT) AS cents FROM customer""")
+def domain_finance(t: Tables):
+    v = F.col("c_acctbal")
+    return t.customer.select("c_custkey", F.round(finance.interest_for_period(v, F.lit(0.18), F.lit(30)), 8).alias("interest"), finance.cash_advance_fee(v, 0.05, 10, 50).alias("fee"), finance.utilization_tier(finance.utilization(v, F.lit(10000))).alias("tier"), finance.minor_units(v, F.lit("USD")).alias("cents"))
+
+
+@query("""WITH g AS (SELECT event_id, value, ts, LAG(value) OVER w AS pv, epoch(ts) - epoch(LAG(ts) OVER w) AS secs FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CASE WHEN pv IS NULL THEN NULL WHEN ABS(value - pv) * 100 > secs / 3600 * 1000 THEN 'impossible' WHEN ABS(value - pv) * 100 > secs / 3600 * 500 THEN 'highly_suspicious' WHEN ABS(value - pv) * 100 > secs / 3600 * 200 THEN 'suspicious' ELSE 'possible' END AS travel,
+ISODOW(ts) >= 6 AS weekend, hour(ts) BETWEEN 2 AND 5 AS odd FROM g""")
+def domain_risk(t: Tables):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = F.col("ts").cast("timestamp")
+    km = F.abs(F.col("value") - F.lag("value").over(w)) * 100
+    hours = (F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))) / 1e6 / 3600
+    return t.events.select("event_id", risk.travel_verdict(km, hours).alias("travel"), risk.is_weekend(at).alias("weekend"), risk.is_odd_hours(at, 2, 5).alias("odd"))

@@ -94,22 +94,16 @@ def marker_at_signal(df: DataFrame, name: str, time: str, condition: Column) ->
 def phase(df: DataFrame, time: str, markers: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
     """Rows at or after one marker and before another; a marker that never fired lets nothing after it, and everything before it."""
     for name, is_start in ((after, True), (before, False)):
-        if name is None:
-            continue
-        # one row by construction
-        fired = F.broadcast(markers.where(F.col("marker") == name).agg(F.min("at").alias("_at")))
-        df = df.crossJoin(fired)
-        df = df.where(F.col(time) >= F.col("_at")) if is_start else df.where(F.col("_at").isNull() | (F.col(time) < F.col("_at")))
-        df = df.drop("_at")
+        if name is not None:
+            at = markers.where(F.col("marker") == name).agg(F.min("at")).scalar()
+            df = df.where(F.col(time) >= at) if is_start else df.where(at.isNull() | (F.col(time) < at))
     return df
 
 
 def with_markers(df: DataFrame, time: str, markers: DataFrame, names: Sequence[str]) -> DataFrame:
     """Adds `fired_<name>` for each marker: whether it had fired by the row's time. Cells of a decision table can judge these."""
-    one = markers.groupBy().agg(*(F.min(F.when(F.col("marker") == n, F.col("at"))).alias(f"_{n}") for n in names))
-    # one row by construction
-    out = df.crossJoin(F.broadcast(one))
-    return out.withColumns({f"fired_{n}": F.coalesce(F.col(time) >= F.col(f"_{n}"), F.lit(False)) for n in names}).drop(*(f"_{n}" for n in names))
+    at = {n: markers.where(F.col("marker") == n).agg(F.min("at")).scalar() for n in names}
+    return df.withColumns({f"fired_{n}": F.coalesce(F.col(time) >= at[n], F.lit(False)) for n in names})
 
 
 def poison(df: DataFrame, keys: Sequence[str], time: str, failed: Column, times: int, seconds: int, into: str = "poison") -> DataFrame:

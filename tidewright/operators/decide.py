@@ -158,11 +158,9 @@ class DecisionTable:
 
 
 def exact_table(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
-    """A table of exact cells with more rows than a chain should have: a null-safe join, the table broadcast if it is small."""
-    from tidewright.operators.joins import sized
-
+    """A table of exact cells with more rows than a chain should have: a null-safe join (Spark broadcasts a small table)."""
     side = table.select(*(F.col(c).alias(f"_t_{c}") for c in on), *(c for c in table.columns if c not in on))
-    return df.join(sized(side), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in on)), "left").drop(*(f"_t_{c}" for c in on))
+    return df.join(side, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in on)), "left").drop(*(f"_t_{c}" for c in on))
 
 
 # -- procedural rules -------------------------------------------------------------

@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension is broadcast; a larger one is joined by shuffle.
+#: Rows up to which `sized` lets a frame be broadcast.
 BROADCAST_ROWS = 200_000
 
 
 def sized(dim: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The dimension with a broadcast hint if it has at most `rows` rows. Counting stops one row beyond."""
+    """The frame with a broadcast hint if it has at most `rows` rows. Counting stops one row beyond.
+
+    The joins below give no hint: Spark broadcasts a side whose size it knows to
+    be small, and adaptive execution one that turns out to be. This is for
+    frames that are small for certain but costly to shuffle the other side for.
+    """
     return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
 
 
@@ -50,18 +55,18 @@ def cogroup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ti
 
 def enrich(df: DataFrame, dim: DataFrame, on: Sequence[str], fields: Sequence[str], how: str = "left") -> DataFrame:
     """Fields of a dimension by key."""
-    return df.join(sized(dim.select(*on, *fields)), list(on), how)
+    return df.join(dim.select(*on, *fields), list(on), how)
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], fields: Sequence[str], found: str = "found") -> DataFrame:
     """As enrich, and whether the key was there."""
-    return df.join(sized(dim.select(*on, *fields, F.lit(True).alias(found))), list(on), "left").withColumn(found, F.coalesce(F.col(found), F.lit(False)))
+    return df.join(dim.select(*on, *fields, F.lit(True).alias(found)), list(on), "left").withColumn(found, F.coalesce(F.col(found), F.lit(False)))
 
 
 def lookup_or(df: DataFrame, dim: DataFrame, on: Sequence[str], field: str, default, into: str | None = None) -> DataFrame:
     """One field by key, or the default if it is missing or null."""
     side = dim.select(*on, F.col(field).alias("_v"))
-    return df.join(sized(side), list(on), "left").withColumn(into or field, F.coalesce(F.col("_v"), F.lit(default))).drop("_v")
+    return df.join(side, list(on), "left").withColumn(into or field, F.coalesce(F.col("_v"), F.lit(default))).drop("_v")
 
 
 def lookup_as_of(df: DataFrame, history: DataFrame, keys: Sequence[str], time: str, effective: str, fields: Sequence[str]) -> DataFrame:

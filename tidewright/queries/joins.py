@@ -189,7 +189,7 @@ def sql_match_recognize(t: Tables):
 @query("""SELECT r_name, COUNT(*) AS n, ROUND(SUM(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1""")
 def region_revenue(t: Tables):
     o = t.orders.where("o_orderdate >= TIMESTAMP_NTZ '1995-01-01'").select("o_orderkey", "o_custkey")
-    place = t.customer.select("c_custkey", "c_nationkey").join(op.sized(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(op.sized(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "r_name")
+    place = t.customer.select("c_custkey", "c_nationkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "r_name")
     l = t.lineitem.select("l_orderkey", "l_extendedprice", "l_discount")
     joined = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(place, F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("r_name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))

@@ -35,7 +35,7 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p
 #: Characters that str.split() takes for white space and the tokenizer does not.
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Remembered words or pairs in a task.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -193,8 +193,14 @@ class SpeculativeBpe:
                 self.chunk[s] = (1, str(i), s)
         out = []
         for parts in cut:
-            got = [g for _, cs in parts for g in map(self.chunk.__getitem__, cs) if g[0]]
-            out.append((sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
+            chunks_ = parts[0][1] if len(parts) == 1 else [c for _, cs in parts for c in cs]
+            if not chunks_:
+                out.append((0, "", ""))
+                continue
+            counts, ids, names = zip(*map(self.chunk.__getitem__, chunks_))
+            if 0 in counts:  # a chunk without tokens must not leave a blank
+                ids, names = filter(None, ids), filter(None, names)
+            out.append((sum(counts), " ".join(ids), " ".join(names)))
         return out
 
     def ids(self, text: str) -> list[int]:

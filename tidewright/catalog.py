@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.queries import apps, functions, joins, rows, rules, state, windows  # noqa: F401  they register themselves
+from tidewright.queries import apps, functions, joins, rows, rules, state, streams, windows  # noqa: F401  they register themselves
 from tidewright.queries.registry import QUERIES, SQL
 
 

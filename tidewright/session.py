@@ -1,7 +1,9 @@
-"""What a session needs so that its Python workers find this package."""
+"""What a session needs: its Python workers find this package, and there is a folder that all executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -14,3 +16,9 @@ def share_package(spark: SparkSession) -> None:
     known = environment.get("PYTHONPATH", "").split(":")
     if home not in known:
         environment["PYTHONPATH"] = ":".join([home, *filter(None, known)])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: under the session's checkpoint folder, or (a session without one, as in tests) under a local one."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -59,7 +59,7 @@ def brute_sets(rows):
             x = parent[x]
         return x
 
-    lists = defaultdict(list)
+    lists, links = defaultdict(list), Counter()
     for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0])):
         met = Counter(j for g in sets[k] for j in lists[g])
         for g in sets[k]:
@@ -68,7 +68,9 @@ def brute_sets(rows):
             if 100 * n >= 90 * (len(sets[k]) + len(sets[j]) - n):
                 a, b = sorted((find(rows[k][0]), find(rows[j][0])), key=lambda x: (x is not None, x))
                 parent[b] = a
-    return [(r[0], len(s), find(r[0])) for r, s in zip(rows, sets)]
+                if rows[k][0] != rows[j][0]:
+                    links.update((rows[k][0], rows[j][0]))
+    return [(r[0], len(s), find(r[0]), links[r[0]]) for r, s in zip(rows, sets)]
 
 
 def same(df, want):
@@ -105,7 +107,7 @@ def test_odd_tables(odd, empty):
 
 
 def test_keep_one(docs, rows):
-    want = {i for i, _, c in brute_sets(rows) if i == c}
+    want = {i for i, _, c, _ in brute_sets(rows) if i == c}
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)

@@ -39,7 +39,7 @@ from tidewright.llm.textkernel import byte_symbols, chunks, flat, mix, owner, pr
 
 #: Sets that a task holds before it sends their parts off (counted in parts); members of a block of a family.
 HELD, BLOCK = 1 << 20, 1024
-SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
+SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint, n_links bigint"
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ def candidates(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
         off = np.concatenate([[0], np.cumsum(size)])
         doc, identity = doc[keep], identity[keep]
         who, key = set_parts(join, token, off)
-        order, leader, new_set = _lists(key, doc[who], identity[who])
+        order, leader, _ = _lists(key, doc[who], identity[who])
         member = doc[who[order]]
         meet = forest(member[member != leader], leader[member != leader])
         # one row for each list goes on: its leader
@@ -219,12 +219,15 @@ def _rows(rows: Iterator[tuple]) -> pa.RecordBatch:
 
 
 def family_links(home_docs: DataFrame, members: DataFrame, join: Join, buckets: int) -> DataFrame:
-    """Forests of links (a, b) inside every family. members: doc, family, blocks, home."""
+    """Forests of links (a, b) inside every family, and rows (a, a, links) that sum up to the documents linked with a.
+
+    members: doc, family, blocks, copies (documents with the very set), home.
+    """
 
     def beside(left, right):
         doc = right["doc"].to_numpy()
         order = np.argsort(doc, kind="stable")
-        doc, family, blocks = doc[order], right["family"].to_numpy()[order], right["blocks"].to_numpy()[order]
+        doc, family, blocks, weight = doc[order], *(right[c].to_numpy()[order] for c in ("family", "blocks", "copies"))
         rows = []
         if len(doc):
             for batch in chunks(iter(left.combine_chunks().to_batches())):
@@ -245,7 +248,7 @@ def family_links(home_docs: DataFrame, members: DataFrame, join: Join, buckets:
                     x = m[some]
                     size = np.diff(off)[x]
                     place = np.repeat(off[x] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    rows.append((bucket, pack(task=task[some], doc=doc[at][x], right=block[x] == high[some], both=low[some] == high[some], size=size), pack(token=token[place])))
+                    rows.append((bucket, pack(task=task[some], doc=doc[at][x], right=block[x] == high[some], both=low[some] == high[some], size=size, weight=weight[at][x]), pack(token=token[place])))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "heads", "tokens"])
 
     def compare(table):
@@ -254,22 +257,26 @@ def family_links(home_docs: DataFrame, members: DataFrame, join: Join, buckets:
         at = np.concatenate([[0], np.cumsum(heads["size"])])
         task = heads["task"][order]
         cuts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
-        links = [linked(join, heads["doc"][order[s:e]], heads["right"][order[s:e]] & ~heads["both"][order[s:e]], [tokens[at[i] : at[i + 1]] for i in order[s:e]]) for s, e in zip(cuts, cuts[1:]) if e > s + 1]
-        a, b = (np.concatenate([x[i] for x in links]) if links else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.table({"a": a, "b": b})
+        found = []
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s + 1:
+                of = order[s:e]
+                found.append(linked(join, heads["doc"][of], None if heads["both"][of[0]] else heads["right"][of], [tokens[at[i] : at[i + 1]] for i in of], heads["weight"][of]))
+        a, b, links = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        return pa.table({"a": a, "b": b, "links": links})
 
     dealt = home_docs.groupBy("home").cogroup(members.groupBy("home")).applyInArrow(beside, "bucket int, heads binary, tokens binary")
-    return dealt.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
+    return dealt.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint, links bigint")
 
 
-def linked(join: Join, doc: np.ndarray, right: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the links among sets (of two blocks: between left and right ones only)."""
+def linked(join: Join, doc: np.ndarray, right: np.ndarray | None, sets: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forest of the links among sets (of two blocks: between left and right ones only), then each set's weight of linked ones."""
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     n = len(sets)
     token = np.concatenate([sets[i] for i in order])
     who = np.repeat(np.arange(n), size[order])
-    doc, right, size = doc[order], right[order], size[order]
+    doc, size, weight = doc[order], size[order], weight[order]
     _, of, count = np.unique(token, return_inverse=True, return_counts=True)
     core = count * 2 > n
     # differences from the core: own elements outside it, and elements of it that are missing
@@ -292,16 +299,21 @@ def linked(join: Join, doc: np.ndarray, right: np.ndarray, sets: list[np.ndarray
     apart = delta_size[:, None] + delta_size[None, :] - 2 * common
     total = size[:, None] + size[None, :]
     near = 100 * (total - apart) >= join.percent * (total + apart)
-    if right.any():
+    if right is not None:
+        right = right[order]
         near &= right[:, None] != right[None, :]
-    x, y = np.nonzero(np.triu(near, 1))
-    return forest(doc[x], doc[y])
+    np.fill_diagonal(near, False)
+    links = near @ weight
+    some = np.flatnonzero(links)
+    x, y = np.nonzero(np.triu(near))
+    node, root = forest(doc[x], doc[y])
+    return np.concatenate([node, doc[some]]), np.concatenate([root, doc[some]]), np.concatenate([np.zeros(len(node), np.int64), links[some]])
 
 
 def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """Set size and least linked document (over any number of links) of every document."""
+    """Of every document: set size, least document reachable by links (itself included), documents linked with it."""
     plain = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"])
-    labels = link_components(plain, join)
+    edges, links = links_of(plain, join)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -310,20 +322,52 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     counted = plain.mapInArrow(count, "doc_id bigint, n_shingles bigint, node bigint")
     component = F.coalesce(F.col("label"), F.col("node"))
-    return counted.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(component != NO_ID, component).alias("component_id"))
+    told = counted.join(labels_of(edges, links), "node", "left").join(link_counts(edges, links), "node", "left")
+    return told.select("doc_id", "n_shingles", F.when(component != NO_ID, component).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
-def link_components(docs: DataFrame, join: Join) -> DataFrame:
-    """(node, label) of every document that has links."""
+def links_of(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """Edges among sets that meet (and copies), and the links inside families."""
     buckets, homes = sizes(docs)
     edges = cut(candidates(docs, join, buckets))
     # copies of a set hold families together, but only the first of them is compared
-    copies = edges.where("same").select(F.col("a").alias("node")).distinct()
-    families = cut(components(edges.select("a", "b")).join(copies, "node", "left_anti"))
+    families = cut(components(edges.select("a", "b")).join(edges.where("same").select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
     counted = families.join(families.groupBy("label").count().where("count > 1"), "label")
-    members = counted.select(F.col("node").alias("doc"), F.col("label").alias("family"), F.ceil(F.col("count") / BLOCK).cast("bigint").alias("blocks"), F.pmod("node", F.lit(homes)).cast("int").alias("home"))
-    links = family_links(housed(docs, homes), members, join, buckets)
-    return components(links.where("a <> b").unionByName(edges.where("same").select("a", "b")))
+    counted = counted.join(copies_of(edges), "node", "left")
+    members = counted.select(F.col("node").alias("doc"), F.col("label").alias("family"), F.ceil(F.col("count") / BLOCK).cast("bigint").alias("blocks"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), F.pmod("node", F.lit(homes)).cast("int").alias("home"))
+    return edges, cut(family_links(housed(docs, homes), members, join, buckets))
+
+
+def copies_of(edges: DataFrame) -> DataFrame:
+    """(node, copies) of the first document of every set that has copies.
+
+    A copy points to the first one of its task, and that one to the first of
+    all, so counts are taken before they are moved up: no key is hot in a join.
+    """
+    same = edges.where("same")
+    direct = same.groupBy("b").agg(F.count("*").alias("n"))
+    above = same.select(F.col("a").alias("b"), F.col("b").alias("root"))
+    return direct.join(above, "b", "left").groupBy(F.coalesce("root", "b").alias("node")).agg((F.sum("n") + 1).alias("copies"))
+
+
+def labels_of(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of every document that has links."""
+    return components(links.where("a <> b").select("a", "b").unionByName(edges.where("same").select("a", "b")))
+
+
+def link_counts(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, n_links) of every document that has links: those of its set's family, and its set's other copies."""
+    sets = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others")).join(copies_of(edges), "node", "full")
+    first = sets.select("node", (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
+    same = edges.where("same")
+    above = same.select(F.col("a").alias("b"), F.col("b").alias("root"))
+    rep = same.select(F.col("a").alias("copy"), "b").join(above, "b", "left").select("copy", F.coalesce("root", "b").alias("node"))
+    return first.unionByName(rep.join(first, "node").select(F.col("copy").alias("node"), "n_links"))
+
+
+def link_components(docs: DataFrame, join: Join) -> DataFrame:
+    """(node, label) of every document that has links."""
+    return labels_of(*links_of(docs, join))
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:

@@ -36,6 +36,7 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS shared FROM g a JOIN g b
 e AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 90 * (x.size + y.size - shared)),
 v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS x FROM documents UNION SELECT r.doc_id, v.b FROM r JOIN v ON r.x = v.a),
-m AS (SELECT doc_id, MIN(x) AS component_id FROM r GROUP BY doc_id)
-SELECT m.doc_id, CAST(COALESCE(size, 0) AS BIGINT) AS n_shingles, component_id FROM m LEFT JOIN n ON m.doc_id = n.doc_id"""
+m AS (SELECT doc_id, MIN(x) AS component_id FROM r GROUP BY doc_id),
+k AS (SELECT a, COUNT(*) AS links FROM v GROUP BY a)
+SELECT m.doc_id, CAST(COALESCE(size, 0) AS BIGINT) AS n_shingles, component_id, CAST(COALESCE(links, 0) AS BIGINT) AS n_links FROM m LEFT JOIN n ON m.doc_id = n.doc_id LEFT JOIN k ON m.doc_id = k.a"""
 )

@@ -49,6 +49,12 @@ def test_hold_equals_a_loop(spark, data):
     assert got == loop_hold(data, 6, 3)
 
 
+def test_hold_ends_at_a_marker(spark):
+    df = events(spark, [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 20, 5)])
+    held = correlate.hold_window(df, ["user_id"], "ts", ["event_id"], "6 hours", 10, F.col("event_id") == 2)
+    assert sorted((r.event_id, r.buffer, r.outcome) for r in held.collect()) == [(1, 1, "complete"), (2, 1, "complete"), (3, 2, "timeout"), (4, 2, "timeout"), (5, 3, "timeout")]
+
+
 # -- decision tables -----------------------------------------------------------------
 CELLS = {
     "any": (lambda: decide.anything, lambda v: True),

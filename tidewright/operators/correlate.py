@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def await_match(first: DataFrame, second: DataFrame, keys: Sequence[str], time: str, ident: str, timeout: str) -> DataFrame:
@@ -48,28 +51,37 @@ def hold_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], count:
 
 
 def hold_window(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], timeout: str, count: int | None = None, marker: Column | None = None) -> DataFrame:
-    """Buffers of a key that start at their first row and live for the timeout; each row gets its buffer and the buffer's outcome.
+    """Buffers of a key that start at their first row and live for the timeout; each row gets its buffer (from 1) and the buffer's outcome.
 
     A buffer is `complete` once it has `count` rows or a row where `marker`
-    holds, else `timeout`. Buffers begin at the first row and again at the first
-    row after a timeout; that is a fold over the key's rows in time order, done
-    inside one aggregate of the key.
+    holds, else `timeout`; the next one begins at the row after it. One key's
+    rows are taken together, buffer by buffer. Rows without a time are left out.
     """
-    item = F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), *(F.col(o).alias(f"o_{o}") for o in order), (F.coalesce(marker, F.lit(False)) if marker is not None else F.lit(False)).alias("m"), F.struct(*df.columns).alias("row"))
-    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    micros = F.expr(f"CAST(unix_micros(TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {timeout}) AS BIGINT)")
+    at = F.col(time).cast("timestamp")
+    marked = df.withColumns(
+        {
+            "_at": F.unix_micros(at),
+            "_end": F.unix_micros(at + F.expr(f"INTERVAL {timeout}")),
+            "_mark": F.coalesce(marker, F.lit(False)) if marker is not None else F.lit(False),
+        }
+    ).where("_at IS NOT NULL")
 
-    def step(state: Column, x: Column) -> Column:
-        fresh = state["open"].isNull() | (x["t"] > state["open"] + micros)
-        number = F.when(fresh, state["number"] + 1).otherwise(state["number"])
-        size = F.when(fresh, 1).otherwise(state["size"] + 1)
-        done = x["m"] | (size >= count if count is not None else F.lit(False))
-        row = F.struct(x["row"].alias("row"), number.alias("number"), done.alias("done"))
-        return F.struct(F.when(~done, F.when(fresh, x["t"]).otherwise(state["open"])).alias("open"), number.alias("number"), F.when(done, 0).otherwise(size).alias("size"), F.concat(state["out"], F.array(row)).alias("out"))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_at", *order], kind="stable")
+        starts, ends, marks = rows["_at"].to_numpy(), rows["_end"].to_numpy(), np.flatnonzero(rows["_mark"].to_numpy())
+        number, done = np.zeros(len(rows), np.int32), np.zeros(len(rows), bool)
+        first = buffer = 0
+        while first < len(rows):
+            last, complete = int(np.searchsorted(starts, ends[first], "right")), False
+            if count is not None and first + count <= last:
+                last, complete = first + count, True
+            mark = int(np.searchsorted(marks, first))
+            if mark < len(marks) and marks[mark] < last:
+                last, complete = int(marks[mark]) + 1, True
+            buffer += 1
+            number[first:last], done[first:last] = buffer, complete
+            first = last
+        return rows.drop(columns=["_at", "_end", "_mark"]).assign(buffer=number, outcome=np.where(done, "complete", "timeout"))
 
-    kind = listed.select(F.transform("_i", lambda x: F.struct(x["row"].alias("row"), F.lit(0).alias("number"), F.lit(False).alias("done"))).alias("o")).schema["o"].dataType
-    start = F.struct(F.lit(None).cast("bigint").alias("open"), F.lit(0).alias("number"), F.lit(0).alias("size"), F.array().cast(kind).alias("out"))
-    folded = listed.select(F.explode(F.aggregate("_i", start, step)["out"]).alias("_o"))
-    rows = folded.select("_o.row.*", F.col("_o.number").alias("buffer"), F.col("_o.done").alias("_done"))
-    complete = F.max("_done").over(Window.partitionBy(*keys, "buffer"))
-    return rows.withColumn("outcome", F.when(complete, "complete").otherwise("timeout")).drop("_done")
+    schema = StructType([*df.schema.fields, StructField("buffer", IntegerType()), StructField("outcome", StringType())])
+    return marked.groupBy(*keys).applyInPandas(run, schema)

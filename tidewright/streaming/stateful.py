@@ -15,11 +15,9 @@ def windowed(df: DataFrame, time: str, delay: str, lateness: str | None, size: s
     """Aggregates of windows; rows count until the watermark (delay and allowed lateness together) has passed their window."""
     bound = f"{_seconds(delay) + (_seconds(lateness) if lateness else 0)} seconds"
     window = F.window(time, size, every) if every else F.window(time, size)
-    return df.withWatermark(time, bound).groupBy(window.alias("w"), *keys).agg(*aggregates).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *(_name(a) for a in aggregates))
-
-
-def _name(c: Column) -> str:
-    return c._jc.toString().rpartition(" AS ")[2].strip("`") if hasattr(c, "_jc") else str(c)
+    counted = df.withWatermark(time, bound).groupBy(window.alias("w"), *keys).agg(*aggregates)
+    rest = [c for c in counted.columns if c != "w" and c not in keys]
+    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *rest)
 
 
 def _seconds(duration: str) -> int:

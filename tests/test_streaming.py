@@ -86,7 +86,7 @@ def test_late_rows_go_aside(spark, tmp_path):
 def test_upsert_and_completion(spark, tmp_path):
     stream, _ = files(spark, str(tmp_path / "in"), [[(1, 0, 1, "a"), (2, 1, 2, "a")], [(1, 5, 3, "b")]])
     done, store = [], str(tmp_path / "store")
-    handler = sinks.with_completion(lambda df, n: sinks.upsert(df, store, "user_id", "ts"), lambda c: done.extend(r.correlation_id for r in c.collect()), lambda e, n: done.append(e), "id")
+    handler = sinks.with_completion(lambda df, n: sinks.upsert(df, store, "user_id", "ts", n), lambda c: done.extend(r.correlation_id for r in c.collect()), lambda e, n: done.append(e), "id")
     sinks.each_batch(stream, str(tmp_path / "cp"), handler).awaitTermination(120)
     assert {(r.user_id, r.id) for r in spark.read.parquet(f"{store}/version=1").collect()} == {(1, 3), (2, 2)}
     assert sorted(done) == [1, 2, 3]

@@ -28,20 +28,17 @@ def fan_out_partitions(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n)
 
 
-def upsert(df: DataFrame, path: str, key: str, order: str) -> None:
-    """The last row of each key wins over what is stored; a version is written beside the old one and then named current, so a retry gives the same."""
-    spark = df.sparkSession
+def upsert(df: DataFrame, path: str, key: str, order: str, number: int) -> None:
+    """The last row of each key wins over what is stored. Batch `number` writes the version of that number from the one before, so a batch that is repeated gives the same."""
     columns = [c for c in df.columns if c != key]
     last = df.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_s")).select(key, *(F.col(f"_s.{c}").alias(c) for c in columns))
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[8:]) for s in fs.listStatus(jvm_path) if s.getPath().getName().startswith("version=") and fs.exists(s.getPath().suffix("/_SUCCESS"))) if fs.exists(jvm_path) else []
-    new = last if not versions else merge_into(current(df, path, versions[-1]), last, key, columns)
-    new.write.mode("overwrite").parquet(f"{path}/version={versions[-1] + 1 if versions else 0}")
+    new = merge_into(version(df, path, number - 1), last, key, columns) if number else last
+    new.write.mode("overwrite").parquet(f"{path}/version={number}")
 
 
-def current(df: DataFrame, path: str, version: int) -> DataFrame:
-    return df.sparkSession.read.parquet(f"{path}/version={version}")
+def version(df: DataFrame, path: str, number: int) -> DataFrame:
+    """What was stored after a batch."""
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/version={number}")
 
 
 def each_batch(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], once: bool = True, every: str | None = None) -> StreamingQuery:

@@ -195,7 +195,7 @@ def compare_anchors(sent: DataFrame, rule: Rule, homes: int, large: int) -> Data
         bucket = table["bucket"][0].as_py()
         near = a["near"].astype(np.uint64) << np.uint64(16) | a["more"]
         order, later = firsts(rule, a["doc"], a["place"], a["gram"], near)
-        gram, doc = a["gram"][order], a["doc"][order]
+        gram = a["gram"][order]
         cut = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
         group = np.cumsum(cut) - 1
         other = np.concatenate([[False], (near[order][1:] != near[order][:-1]) & ~cut[1:]]) if len(gram) else cut

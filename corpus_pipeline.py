@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each one operator applied to all that the stage before kept.
 
 quality          documents that the classifier rejects go
-near_duplicates  of each group of linked documents the one of least id stays
+near_duplicates  of each group of linked documents (NEAR) the one of least id stays
 secrets          every span found is replaced by a mark in the text
 mixing           sources come as often as their target weights say, each document at least once
 tokens           every text is encoded (and decoded) by the public tokenizer
@@ -16,6 +16,9 @@ from tidewright.llm import bpe, classifier, jaccard, mixing, secrets
 from tidewright.llm.catalog import tokenizer_path
 from tidewright.llm.store import cut
 
+#: Near copies share four fifths of their shingles of five words (the op4 query has a contract of its own).
+NEAR = jaccard.Join(n=5, percent=80)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_documents(documents(spark, sf_dir))
+    return jaccard.join_documents(documents(spark, sf_dir), jaccard.Join(n=3, percent=90))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

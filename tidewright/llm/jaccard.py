@@ -2,7 +2,9 @@ r"""N-gram Jaccard join with set-relation skipping.
 
 A document's set holds its distinct word n-grams.  Two sets of similarity t or
 more differ in few elements, so if both are cut by hash into one part more than
-that number, some part is the same in both.  Index lists are keyed by size
+that number, some part is the same in both.  A part without elements says nothing
+and has no list; a set with so many of them that they could be all that it has
+in common with another is cut anew, by another hash.  Index lists are keyed by size
 class, part position and part content: a list is never compared with one of
 another position or of a class out of reach (block skipping), and copies of one
 set enter once.
@@ -39,6 +41,9 @@ from tidewright.llm.textkernel import byte_symbols, chunks, flat, mix, owner, pr
 
 #: Sets that a task holds before it sends their parts off (counted in parts); members of a block of a family.
 HELD, BLOCK = 1 << 20, 1024
+#: Hashes by which sets are cut one after another; what the last one leaves open is listed by its empty parts, too.
+CUTS = mix(np.arange(1, 17, dtype=np.uint64))
+CUTS[0] = 0xA5A5A5A5A5A5A5A5
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint, n_links bigint"
 
 
@@ -61,9 +66,15 @@ class Join:
             bounds.append(bounds[-1] * 100 // self.percent + 1)
         return np.array([*bounds, bounds[-1] * 100 // self.percent + 1])
 
-    def parts(self, bounds: np.ndarray) -> np.ndarray:
-        """Parts of a set in the lists of each class whose smaller partner is of that class."""
-        return np.array([self.differences(int(b - 1) + int(b - 1) * 100 // self.percent) + 1 for b in bounds[1:]])
+    def parts(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the lists of each class: most elements in which linked sets differ whose smaller one is of that class, and
+        the parts of a set: more than that number, with some to spare for empty ones."""
+        most = np.array([self.differences(top + top * 100 // self.percent) for top in (bounds[1:] - 1).tolist()])
+        return most, most + 1 + (3 * (most + 1) * np.exp(-bounds[:-1] / (most + 1))).astype(np.int64)
+
+    def unlike(self, size: np.ndarray) -> np.ndarray:
+        """Most elements in which a set of each size and one that is linked with it differ."""
+        return (100 - self.percent) * (size + size * 100 // self.percent) // (100 + self.percent)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,23 +115,32 @@ def set_parts(join: Join, token: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     """Set index and key of every part of every set, in the lists of its own class and of the class below."""
     size = np.diff(off)
     bounds = join.classes(int(size.max(initial=1)))
-    many = join.parts(bounds)
+    most, many = join.parts(bounds)
     own = np.searchsorted(bounds, size, "right") - 1
-    of = owner(off)
     who, keys = [], []
-    scattered = mix(token ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    place = scattered >> np.uint64(33)
     for level in (own, own - 1):
-        ok = (size > 0) & (level >= 0)
-        parts = np.where(ok, many[np.maximum(level, 0)], 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
-        sums = np.zeros(base[-1], np.uint64)
-        sel = ok[of]
-        np.add.at(sums, (base[of] + (place % np.maximum(parts[of], 1).astype(np.uint64)).astype(np.int64))[sel], scattered[sel])
-        set_of = np.repeat(np.arange(len(size)), parts)
-        position = np.arange(base[-1]) - base[set_of]
-        who.append(set_of)
-        keys.append(mix(sums + mix((level[set_of].astype(np.uint64) << np.uint64(32)) + position.astype(np.uint64) + np.uint64(1))))
+        left = np.flatnonzero((size > 0) & (level >= 0))
+        for turn, seed in enumerate(CUTS):
+            parts, length = many[level[left]], size[left]
+            base = np.concatenate([[0], np.cumsum(parts)])
+            of = np.repeat(np.arange(len(left)), length)
+            scattered = mix(token[np.repeat(off[left] - (np.cumsum(length) - length), length) + np.arange(len(of))] ^ seed)
+            sums = np.zeros(base[-1], np.uint64)
+            np.add.at(sums, base[of] + ((scattered >> np.uint64(33)) % parts[of].astype(np.uint64)).astype(np.int64), scattered)
+            set_of = np.repeat(np.arange(len(left)), parts)
+            position = np.arange(base[-1]) - base[set_of]
+            listed = sums != 0
+            # linked sets have parts - unlike equal parts; with fewer empty ones some equal part has a list
+            unlike = np.minimum(join.unlike(length), most[level[left]])
+            few = np.bincount(set_of[~listed], minlength=len(left)) >= parts - unlike
+            if turn == len(CUTS) - 1:
+                listed |= few[set_of]
+            place = (np.uint64(turn) << np.uint64(48)) + (level[left][set_of].astype(np.uint64) << np.uint64(32)) + position.astype(np.uint64) + np.uint64(1)
+            who.append(left[set_of[listed]])
+            keys.append(mix(sums + mix(place))[listed])
+            left = left[few]
+            if not len(left):
+                break
     return np.concatenate(who), np.concatenate(keys)
 
 

@@ -5,7 +5,8 @@ over each text.  They are transformed to a vector of six; for every language
 and source a minimum-covariance-determinant estimate of centre and scatter is
 found by concentration steps: distances to the present estimate are put in
 bins, the bins' moments are summed over all rows (one small aggregate), and
-the nearest three quarters give the next estimate.  A document far from its
+the nearest three quarters give the next estimate; the last one is scaled by the
+median distance, and spreads below STATS are raised to it.  A document far from its
 group's estimate (Mahalanobis) is rejected.
 
 Defined results: a null or empty text has zero counts and fails the base rule;
@@ -30,13 +31,11 @@ from tidewright.llm.textkernel import IS_WORD, byte_symbols, chunks, flat, mix,
 #: Fixed values of the base rule: signs, window, least words, greatest share of repeated words in percent.
 SYMBOLS, WINDOW, LEAST_WORDS, REPEATED_PERCENT = b"#*$%&|<>", 5, 10, 20
 #: Names of the transformed statistics and the least spread that is taken for each.
-STATS = {"x_len": 1.2, "x_word": 0.12, "x_sign": 0.35, "x_lines": 0.12, "x_repeat": 0.25, "x_upper": 0.08}
+STATS = {"x_len": 0.6, "x_word": 0.12, "x_sign": 0.35, "x_lines": 0.12, "x_repeat": 0.25, "x_upper": 0.08}
 #: Share of rows in the subset, concentration steps, bins of a step, rows below which a group has no verdict.
 SUBSET, C_STEPS, BINS, LEAST_ROWS = 0.75, 4, 48, 40
 #: Squared distance beyond which a document is rejected: of a chi-squared variable with 6 degrees, one in twenty million is larger.
 CUTOFF = 45.0
-#: Median of the chi-squared distribution with 6 degrees, for consistency.
-CHI2_MEDIAN = 5.348
 #: Groups whose estimates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -135,14 +134,22 @@ def base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
 
 
-ESTIMATE = "lang string, source string, rows bigint, centre array<double>, inverse array<double>"
+ESTIMATE = "lang string, source string, rows bigint, centre array<double>, scatter array<double>, inverse array<double>"
 _KEYS = ("lang", "source")
 
 
-def _inverse(scatter: np.ndarray) -> np.ndarray:
-    """Inverse of the scatter, no direction narrower than the least spreads allow."""
+def _floored(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse of the scatter, directions narrower than the least spreads raised to them, and each direction's share of its width."""
     least = np.array(list(STATS.values()))
-    return np.linalg.inv(scatter + np.diag(least**2))
+    width, axis = np.linalg.eigh(scatter / np.outer(least, least))
+    axis = axis / least[:, None]
+    return (axis / np.maximum(width, 1)) @ axis.T, np.clip(width, 0, 1)
+
+
+def _median(weights: np.ndarray) -> float:
+    """Median of a weighted sum of squared normal variables (Wilson and Hilferty); with six ones that of chi-squared, 5.35."""
+    total = weights.sum()
+    return max(0.0, total * (1 - 2 * (weights**2).sum() / (9 * total**2)) ** 3) if total else 0.0
 
 
 def _first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,12 +157,14 @@ def _first(pdf: pd.DataFrame) -> pd.DataFrame:
     q = np.stack(pdf["quartiles"].map(np.stack))
     out = pdf[[*_KEYS, "rows"]].copy()
     out["centre"] = [list(x[:, 1]) for x in q]
-    out["inverse"] = [list(_inverse(np.diag(((x[:, 2] - x[:, 0]) / 1.349) ** 2)).ravel()) for x in q]
+    scatter = [np.diag(((x[:, 2] - x[:, 0]) / 1.349) ** 2) for x in q]
+    out["scatter"] = [list(x.ravel()) for x in scatter]
+    out["inverse"] = [list(_floored(x)[0].ravel()) for x in scatter]
     return out
 
 
 def _next(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The estimate from one group's bins: the nearest SUBSET of its rows, scaled so that the median distance is right."""
+    """The estimate from one group's bins: the nearest SUBSET of its rows."""
     pdf = pdf.sort_values("bin")
     reached = pdf["n"].cumsum().to_numpy()
     total = int(reached[-1])
@@ -167,7 +176,23 @@ def _next(pdf: pd.DataFrame) -> pd.DataFrame:
     second = second + second.T - np.diag(np.diag(second))
     share = min(1.0, n / total)
     scatter = (second - np.outer(centre, centre)) / max(0.35, share * 0.9)  # the subset is narrower than the whole
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "source": [pdf["source"].iloc[0]], "rows": [total], "centre": [list(centre)], "inverse": [list(_inverse(scatter).ravel())]})
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "source": [pdf["source"].iloc[0]], "rows": [total], "centre": [list(centre)], "scatter": [list(scatter.ravel())], "inverse": [list(_floored(scatter)[0].ravel())]})
+
+
+def _scaled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The last estimate, scaled so that the median distance (inside its bin in proportion) is that of normal variables."""
+    pdf = pdf.sort_values("bin")
+    n = pdf["n"].to_numpy()
+    half, reached = n.sum() / 2, n.cumsum()
+    at = int(np.searchsorted(reached, half))
+    median = np.expm1((pdf["bin"].iloc[at] + 1 - (reached[at] - half) / n[at]) / 6)
+    out = pdf[[*_KEYS, "rows", "centre", "scatter"]].iloc[:1].copy()
+    scatter = np.array(out["scatter"].iloc[0]).reshape(len(STATS), -1)
+    expected = _median(_floored(scatter)[1])
+    scatter = scatter * (median / expected if expected else 1.0)
+    out["scatter"] = [list(scatter.ravel())]
+    out["inverse"] = [list(_floored(scatter)[0].ravel())]
+    return out
 
 
 def _with(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
@@ -191,11 +216,14 @@ def estimate(rows: DataFrame) -> tuple[DataFrame, int]:
     names = list(STATS)
     first = F.array(*(F.sum(s) for s in names)).alias("s1")
     second = F.array(*(F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:])).alias("s2")
+    place = F.least(F.floor(6 * F.log1p(F.col("distance"))), F.lit(BINS - 1)).cast("int").alias("bin")
     for _ in range(C_STEPS):
-        place = F.least(F.floor(6 * F.log1p(F.col("distance"))), F.lit(BINS - 1)).cast("int").alias("bin")
         bins = _with(usable, present, groups).select(*_KEYS, *names, place).groupBy(*_KEYS, "bin").agg(F.count("*").alias("n"), first, second)
         present = cut(bins.groupBy(*_KEYS).applyInPandas(_next, ESTIMATE))
-    return present, groups
+    bins = _with(usable, present, groups).select(*_KEYS, place).groupBy(*_KEYS, "bin").agg(F.count("*").alias("n"))
+    last = present.drop("inverse").withColumnsRenamed({k: f"e_{k}" for k in _KEYS})
+    both = bins.join(last, F.equal_null("lang", "e_lang") & F.equal_null("source", "e_source")).drop("e_lang", "e_source")
+    return cut(both.groupBy(*_KEYS).applyInPandas(_scaled, ESTIMATE)), groups
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

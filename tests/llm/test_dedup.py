@@ -1,6 +1,7 @@
 """Substring dedup and the Jaccard join against brute force."""
 
 import hashlib
+import random
 import re
 import string
 from collections import Counter, defaultdict
@@ -46,12 +47,12 @@ def brute_words(rows):
     return out
 
 
-def brute_sets(rows):
+def brute_sets(rows, n=3, percent=90):
     lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     sets = []
     for r in rows:
         w = WORD.findall((r[1] or "").translate(lower))
-        sets.append({tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set()))
+        sets.append({tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
     parent = {r[0]: r[0] for r in rows}
 
     def find(x):
@@ -64,8 +65,8 @@ def brute_sets(rows):
         met = Counter(j for g in sets[k] for j in lists[g])
         for g in sets[k]:
             lists[g].append(k)
-        for j, n in met.items():
-            if 100 * n >= 90 * (len(sets[k]) + len(sets[j]) - n):
+        for j, both in met.items():
+            if 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
                 a, b = sorted((find(rows[k][0]), find(rows[j][0])), key=lambda x: (x is not None, x))
                 parent[b] = a
                 if rows[k][0] != rows[j][0]:
@@ -88,26 +89,66 @@ def test_words(docs, rows, large):
     same(suffixtree.dedup_words(docs, large), brute_words(rows))
 
 
+QUERY = jaccard.Join(n=3, percent=90)
+
+
 def test_join(docs, rows):
-    same(jaccard.join_documents(docs), brute_sets(rows))
+    same(jaccard.join_documents(docs, QUERY), brute_sets(rows))
+    same(jaccard.join_documents(docs), brute_sets(rows, 5, 80))
+
+
+def family(r, n, length=60, edits=4):
+    """One text in many versions: few edits each, some of them shared, some versions far from the rest."""
+    base, shared = [f"w{i}" for i in range(length)], [(r.randrange(length), f"s{i}") for i in range(6)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, edits if i % 7 else 3 * edits)):
+            at, new = r.choice(shared) if r.random() < 0.6 else (r.randrange(length), f"x{r.randrange(10**6)}")
+            w[at] = new
+        out.append(" ".join(w[r.randint(0, 3) :]))
+    return out
 
 
-def test_join_in_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
-    same(jaccard.join_documents(docs), brute_sets(rows))
+@pytest.mark.parametrize("join", [QUERY, jaccard.Join()])
+def test_join_in_slices(spark, docs, rows, monkeypatch, join):
+    """Families cut into slices, with few voters, pairs looked at a few at a time, and copies beside near copies."""
+    monkeypatch.setattr(jaccard, "SLICE", 4)
+    monkeypatch.setattr(jaccard, "VOTERS", 6)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    monkeypatch.setattr(jaccard, "TOGETHER", 30)
+    same(jaccard.join_documents(docs, join), brute_sets(rows, join.n, join.percent))
+    r = random.Random(5)
+    texts = [*family(r, 70), *family(r, 60, 200, 12)]
+    many = [(i, t) for i, t in enumerate([*texts, *texts[::5], *texts[::9]])]
+    same(jaccard.join_documents(spark.createDataFrame(many, "doc_id bigint, text string").repartition(5), join), brute_sets(many, join.n, join.percent))
+
+
+def test_join_of_large_groups(spark):
+    """Very many copies of one text, and a family larger than a slice, next to unrelated texts."""
+    r = random.Random(6)
+    texts = [*family(r, 3000, 100, 3), *["the one text that is copied again and again"] * 20_000, *[f"unlike {i} text {i} here {i}" for i in range(500)]]
+    r.shuffle(texts)
+    got = {x.doc_id: x for x in jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6), QUERY).collect()}
+    copies = [i for i, t in enumerate(texts) if t.startswith("the one")]
+    assert {got[i].component_id for i in copies} == {copies[0]} and {got[i].n_links for i in copies} == {len(copies) - 1}
+    near = [(i, t) for i, t in enumerate(texts) if t[0] in "wsx"]
+    for i, _, component, links in brute_sets(near):
+        assert (got[i].component_id, got[i].n_links) == (component, links)
+    assert all(got[i].n_links == 0 for i, t in enumerate(texts) if t.startswith("unlike"))
 
 
 def test_odd_tables(odd, empty):
     rows = [tuple(r)[:5] for r in odd.collect()]
     same(substring.dedup_substrings(odd), brute_bytes(rows))
     same(suffixtree.dedup_words(odd), brute_words(rows))
-    same(jaccard.join_documents(odd), brute_sets(rows))
+    same(jaccard.join_documents(odd, QUERY), brute_sets(rows))
     for f in (substring.dedup_substrings, suffixtree.dedup_words, jaccard.join_documents, jaccard.keep_one):
         assert f(empty).count() == 0
 
 
 def test_keep_one(docs, rows):
-    want = {i for i, _, c, _ in brute_sets(rows) if i == c}
+    want = {i for i, _, c, _ in brute_sets(rows, 5, 80) if i == c}
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)

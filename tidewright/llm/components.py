@@ -1,4 +1,8 @@
-"""Connected components of a graph of document ids, by contraction to least neighbours."""
+"""Connected components of a graph of document ids, by contraction to least neighbours.
+
+Defined results: an edge from a node to itself says nothing; an empty table of
+edges gives no rows; repeated edges count once.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.store import cut
 
-#: Edges that a task takes together.
-HELD = 1 << 21
+#: Edges that a task takes together; parts that the rows of one key are looked up in.
+HELD, PARTS = 1 << 21, 64
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +37,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, spread_by: str, how: str = "inner") -> DataFrame:
+    """`rows` with the columns that `table` (one row for each `key`) has for them.
+
+    A key may hold any share of the rows: its rows are dealt to PARTS parts by
+    `spread_by`, each part asks once, and the answer meets the part's rows only.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(spread_by), F.lit(PARTS)).cast("int"))
+    answers = dealt.select(key, "part").distinct().join(table, key)
+    return dealt.join(answers, [key, "part"], how).drop("part")
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """As few edges (a, b) as a task can say the same connections with; edges meet by `a`, in parts of bounded size."""
 
@@ -68,15 +83,16 @@ def components(edges: DataFrame) -> DataFrame:
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("p"))
-        next_ = near.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        parent = cut(near.join(next_, "p").select("node", F.least("p", "pp").alias("p")))
+        above = near.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        parent = cut(looked_up(near, "p", above, "node").select("node", F.least("p", "pp").alias("p")))
         if labels is None:
             labels = parent.withColumnRenamed("p", "label")
         else:
             moved = parent.select(F.col("node").alias("label"), "p")
-            labels = cut(labels.join(moved, "label", "left").select("node", F.coalesce("p", "label").alias("label")))
+            labels = cut(looked_up(labels, "label", moved, "node", "left").select("node", F.coalesce("p", "label").alias("label")))
         a, b = (parent.select(F.col("node").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
-        left = cut(_plain(left.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
+        moved = looked_up(looked_up(left, "a", a, "b"), "b", b, "a")
+        left = cut(_plain(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 

@@ -1,46 +1,60 @@
-r"""N-gram Jaccard join with set-relation skipping.
-
-A document's set holds its distinct word n-grams.  Two sets of similarity t or
-more differ in few elements, so if both are cut by hash into one part more than
-that number, some part is the same in both.  A part without elements says nothing
-and has no list; a set with so many of them that they could be all that it has
-in common with another is cut anew, by another hash.  Index lists are keyed by size
-class, part position and part content: a list is never compared with one of
-another position or of a class out of reach (block skipping), and copies of one
-set enter once.
-
-Sets that meet in some list form a family.  Inside a family, answers are
-derived, not computed anew: with a core (the elements that most members share)
-every member is only its difference from the core, and the difference of two
-members follows from those two small sets, by lists of the elements in them.
-Families of any size are cut into blocks, and a task compares two blocks; what
-it returns is a forest of links, never all pairs.
+r"""N-gram Jaccard join by set-relation skipping.
+
+A document's set holds its distinct word n-grams.  Candidates first: two sets of
+similarity t or more differ in few elements, so if both are cut by hash into one
+part more than that number, some part is the same in both.  A part without
+elements says nothing and has no list; a set with so many of them that they could
+be all that it has in common with another is cut anew, by another hash.  Lists
+are keyed by size class, part position and part content, so lists of other
+positions and of classes out of reach are skipped; copies of one set enter once.
+
+Sets that meet in some list form a family, and a family is answered from its
+pivot, the member most like the others:
+
+  answers  One pass computes the pivot's overlap with every member.  The answers
+           of any other member are derived from these and from its difference
+           to the pivot: members of one size and one size of difference (a
+           class) have the same bounds, so a class is surely linked with all of
+           another one, surely with none of it, or open.  Sure links are counted
+           by classes, however large the family is.
+  lists    Open classes are read from index lists over the elements of the
+           differences, rare elements first.  An entry stands in its list by its
+           position (by what its difference still has behind it); a probe stops
+           at the first entry that leaves too little, and skips the rest of the
+           list.  Pairs found are verified on their differences alone.
+
+Large families are cut into slices that all know the same pivot: sets are
+shuffled once (a slice at a time), classes are summed up over slices, and only
+the differences of open members meet in pairs of slices.  What tasks return are
+forests of links and sums, never all pairs.
 
 Defined results: a null text has no words; a document without words has an
 empty set and is linked with nothing; with fewer words than n the whole
-sequence is the one element; rows of one doc_id are taken for one document
-(a null doc_id included); an empty table gives no rows; extra columns are not
-read by the join.
+sequence is the one element; a very long text is one set like any other; rows of
+one doc_id are taken for one document (a null doc_id included); an empty table
+gives no rows; extra columns are not read by the join and kept by keep_one.
+Sets and elements are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.components import components, forest
+from tidewright.llm.components import components, forest, looked_up
 from tidewright.llm.repeats import NO_ID, housed, ids_of, matched, pack, sizes, spread, unpack
-from tidewright.llm.store import cut
+from tidewright.llm.store import cut, free
 from tidewright.llm.textkernel import byte_symbols, chunks, flat, mix, owner, prefix_hash, span_hash, windows, word_bounds
 
-#: Sets that a task holds before it sends their parts off (counted in parts); members of a block of a family.
-HELD, BLOCK = 1 << 20, 1024
+#: Elements that a task holds before it sends their parts off.
+HELD = 1 << 20
+#: Members of a slice of a family; members that choose its pivot; members, and pairs of classes or members, looked at together.
+SLICE, VOTERS, TOGETHER, PAIRS = 1024, 32, 4096, 1 << 20
 #: Hashes by which sets are cut one after another; what the last one leaves open is listed by its empty parts, too.
 CUTS = mix(np.arange(1, 17, dtype=np.uint64))
 CUTS[0] = 0xA5A5A5A5A5A5A5A5
@@ -51,13 +65,12 @@ SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint, n_links bigint"
 class Join:
     """Words of a shingle, and the least similarity in percent."""
 
-    n: int = 3
-    percent: int = 90
+    n: int = 5
+    percent: int = 80
 
     def differences(self, total: int) -> int:
         """Most elements in which two linked sets of `total` elements together differ."""
-        t = Fraction(self.percent, 100)
-        return int((1 - t) / (1 + t) * total)
+        return (100 - self.percent) * total // (100 + self.percent)
 
     def classes(self, most: int) -> np.ndarray:
         """Lower bounds of the size classes up to `most`: linked sets are in the same or in neighbouring classes."""
@@ -72,6 +85,10 @@ class Join:
         most = np.array([self.differences(top + top * 100 // self.percent) for top in (bounds[1:] - 1).tolist()])
         return most, most + 1 + (3 * (most + 1) * np.exp(-bounds[:-1] / (most + 1))).astype(np.int64)
 
+    def apart(self, total: np.ndarray) -> np.ndarray:
+        """The same for arrays of totals, exactly."""
+        return (100 - self.percent) * total // (100 + self.percent)
+
     def unlike(self, size: np.ndarray) -> np.ndarray:
         """Most elements in which a set of each size and one that is linked with it differ."""
         return (100 - self.percent) * (size + size * 100 // self.percent) // (100 + self.percent)
@@ -189,7 +206,7 @@ def candidates(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
         for bucket in sorted({*by_bucket, *by_set}):
             at = lead[by_bucket.get(bucket, np.zeros(0, np.int64))]
             ids = by_set.get(bucket, np.zeros(0, np.int64))
-            yield bucket, pack(doc=doc[who[at]], key=(key[at] >> np.uint64(32)).astype(np.uint32), set=(identity[who[at]] >> np.uint64(32)).astype(np.uint32), more=(identity[who[at]] & np.uint64(0xFFFF)).astype(np.uint16)), pack(doc=doc[ids], identity=identity[ids]), edges
+            yield bucket, pack(doc=doc[who[at]], key=key[at], set=identity[who[at]]), pack(doc=doc[ids], identity=identity[ids]), edges
             edges = b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +218,7 @@ def candidates(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
             if full.any():
                 held.append((ids[full], set_hash(token, off)[full], token, np.concatenate([[0], np.cumsum(np.diff(off)[full])])))
                 size += len(token)
-            if size >= 2 * HELD:
+            if size >= HELD:
                 yield _rows(flush(held))
                 held, size = [], 0
         if held:
@@ -214,7 +231,7 @@ def candidates(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
                 e = unpack([blob])
                 out.append((e["a"], e["b"], e["same"]))
         a = unpack(table["lists"].to_pylist())
-        order, leader, new_set = _lists(a["key"], a["doc"], a["set"].astype(np.uint64) << np.uint64(16) | a["more"])
+        order, leader, new_set = _lists(a["key"], a["doc"], a["set"])
         member = a["doc"][order]
         some = new_set & (member != leader)
         node, root = forest(member[some], leader[some])
@@ -238,96 +255,298 @@ def _rows(rows: Iterator[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "lists", "sets", "edges"])
 
 
+def _in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending ones."""
+    at = np.searchsorted(ascending, values)
+    at[at == len(ascending)] = 0
+    return ascending[at] == values if len(ascending) else np.zeros(len(values), bool)
+
+
+def _expanded(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs [start, start + size): the run of every place, and the places."""
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size - start, size)
+
+
+def _portions(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows whose sizes sum up to `limit` at most, one row at least."""
+    reached, at = np.cumsum(size), 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(reached, (reached[at - 1] if at else 0) + limit, "right")))
+        yield at, end
+        at = end
+
+
+def differences(family: np.ndarray, doc: np.ndarray, votes: np.ndarray, off: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Difference of each set to its family's pivot: sizes, then (set, element) of every element in which they differ.
+
+    family: ascending numbers from 0.  The pivot is the voter nearest to what most voters have (of equal ones the
+    least document); a family without voters has an empty pivot.
+    """
+    n, size = len(family), np.diff(off)
+    known, number = np.unique(token, return_inverse=True)
+    who = np.repeat(np.arange(n), size)
+    key = family[who] << 32 | number
+    voted, count = np.unique(key[votes[who]], return_counts=True)
+    voters = np.bincount(family[votes], minlength=family[-1] + 1)
+    core = voted[2 * count > voters[voted >> 32]]
+    wide = np.bincount(core >> 32, minlength=len(voters))
+    off_core = size + wide[family] - 2 * np.bincount(who[_in(key, core)], minlength=n)
+    order = np.lexsort((doc, off_core, ~votes, family))
+    best = order[np.searchsorted(family[order], np.arange(len(voters)))]
+    pivot = np.where(voters > 0, best, -1)
+    there = pivot >= 0
+    of, place = _expanded(off[pivot[there]], size[pivot[there]])
+    inside = _in(key, np.sort(np.flatnonzero(there)[of] << 32 | number[place]))
+    mine = pivot[family]
+    of, place = _expanded(off[mine], np.where(mine >= 0, size[mine], 0))
+    lost = of << 32 | number[place]
+    lost = lost[~_in(lost, who << 32 | number)]
+    both = np.sort(np.concatenate([(who << 32 | number)[~inside], lost]))
+    return np.bincount(both >> 32, minlength=n), both >> 32, known[both & 0xFFFFFFFF] if len(known) else token
+
+
+def classes_of(m: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Class of each member, and the classes: family, size, difference, weight and least document, in this order."""
+    order = np.lexsort((m["doc"], m["delta"], m["size"], m["family"]))
+    keys = [m[k][order] for k in ("family", "size", "delta")]
+    fresh = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    first = np.flatnonzero(fresh)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return of, {"family": keys[0][first], "size": keys[1][first], "delta": keys[2][first], "weight": np.add.reduceat(m["weight"][order], first), "doc": m["doc"][order][first]}
+
+
+def settle(join: Join, m: dict[str, np.ndarray], c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What follows from the pivot's answers: edges (a, b), the weight linked with each member, and the common elements that
+    it needs at least with some member of an open class (0: nothing is open). `c` has all classes of the members' families."""
+    of, own = classes_of(m)
+    low, many = np.searchsorted(c["family"], own["family"]), 0
+    many = np.searchsorted(c["family"], own["family"], "right") - low
+    links, need = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+    itself, partner = np.zeros(len(low), bool), np.full(len(low), np.iinfo(np.int64).max)
+    edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for s, e in _portions(many, PAIRS):
+        i, j = _expanded(low[s:e], many[s:e])
+        i += s
+        far = join.apart(own["size"][i] + c["size"][j])
+        spare = own["delta"][i] + c["delta"][j] - far  # elements that have to be common to both differences, twice counted
+        sure = spare <= 0
+        open_ = ~sure & (np.abs(own["delta"][i] - c["delta"][j]) <= far) & (np.abs(own["size"][i] - c["size"][j]) <= far)
+        links[s:e] += np.bincount(i[sure] - s, weights=c["weight"][j[sure]], minlength=e - s).astype(np.int64)
+        np.minimum.at(partner, i[sure], c["doc"][j[sure]])
+        itself[i[sure & (own["size"][i] == c["size"][j]) & (own["delta"][i] == c["delta"][j])]] = True
+        least = np.full(e - s, np.iinfo(np.int64).max)
+        np.minimum.at(least, i[open_] - s, (spare[open_] + 1) // 2)
+        need[s:e] = np.where(least < np.iinfo(np.int64).max, least, 0)
+        edges.append(forest(own["doc"][i[sure]], c["doc"][j[sure]]))
+    has = partner[of] < np.iinfo(np.int64).max
+    edges.append((m["doc"][has], partner[of[has]]))
+    a, b = (np.concatenate(x) for x in zip(*edges))
+    return a, b, links[of] - np.where(itself[of], m["weight"], 0), need[of]
+
+
+def read_lists(join: Join, m: dict[str, np.ndarray], who: np.ndarray, element: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of linked members of open classes, found in index lists over the elements of their differences.
+
+    who, element: all elements in which open members differ from the pivot, by member; side: only pairs of two sides count.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(who):
+        return none
+    _, number = np.unique(element, return_inverse=True)
+    held = who << 32 | number  # for verification
+    held.sort()
+    key = m["family"][who] << 32 | number
+    lists, of, count = np.unique(key, return_inverse=True, return_counts=True)
+    order = np.lexsort((of, count[of], who))  # rare elements first, in one order for all
+    who, of = who[order], of[order]
+    first = np.searchsorted(who, np.arange(len(m["doc"])))
+    rest = m["delta"][who] - (np.arange(len(who)) - first[who])  # this element and those behind it
+    keep = (rest >= m["need"][who]) & (count[of] > 1)
+    who, of, rest = who[keep], of[keep], rest[keep]
+    order = np.lexsort((-rest, of))
+    who, of, rest = who[order], of[order], rest[order]
+    top = int(rest.max(initial=0)) + 1
+    stands = of * (top + 1) + (top - rest)  # by list, then by what is left: the entries that a probe needs come first
+    start = np.searchsorted(stands, of * (top + 1))
+    readable = np.searchsorted(stands, of * (top + 1) + (top - m["need"][who]), "right") - start
+    found = [np.zeros(0, np.int64)]
+    for s, e in _portions(readable, PAIRS):
+        probe, at = _expanded(start[s:e], readable[s:e])
+        x, y, left = who[s + probe], who[at], np.minimum(rest[s + probe], rest[at])
+        far = join.apart(m["size"][x] + m["size"][y])
+        spare = m["delta"][x] + m["delta"][y] - far
+        ok = (x < y) & (spare > 0) & (np.abs(m["delta"][x] - m["delta"][y]) <= far) & (2 * left >= spare)
+        if side is not None:
+            ok &= side[x] != side[y]
+        found.append(np.unique(x[ok] << 32 | y[ok]))
+    pairs = np.unique(np.concatenate(found))
+    x, y = pairs >> 32, pairs & 0xFFFFFFFF
+    spare = m["delta"][x] + m["delta"][y] - join.apart(m["size"][x] + m["size"][y])
+    shorter = m["delta"][x] <= m["delta"][y]
+    x, y = np.where(shorter, x, y), np.where(shorter, y, x)
+    begin, linked = np.searchsorted(held, x << 32), np.zeros(len(x), bool)
+    for s, e in _portions(m["delta"][x], PAIRS):
+        pair, at = _expanded(begin[s:e], m["delta"][x[s:e]])
+        common = np.bincount(pair[_in(y[s:e][pair] << 32 | held[at] & 0xFFFFFFFF, held)], minlength=e - s)
+        linked[s:e] = 2 * common >= spare[s:e]
+    return x[linked], y[linked]
+
+
+#: One row for each result: an edge (a, b) or a sum (a, a, links); or for each slice of a cut family: its members and their differences.
+ANSWERS = "a bigint, b bigint, links bigint, family bigint, slice bigint, slices bigint, heads binary, elements binary"
+_MEMBER = ("doc", "size", "delta", "weight")
+
+
+def _answers(edges: list[tuple[np.ndarray, np.ndarray]], sums: list[tuple[np.ndarray, np.ndarray]], pieces: list[tuple] = ()) -> pa.Table:
+    a, b = (np.concatenate([e[i] for e in edges]) if edges else np.zeros(0, np.int64) for i in range(2))
+    a, b = forest(a, b)
+    some = a != b
+    doc, links = (np.concatenate([x[i] for x in sums]) if sums else np.zeros(0, np.int64) for i in range(2))
+    told = links > 0
+    a, b = a[some], b[some]
+    n, more = len(a) + int(told.sum()), len(pieces)
+    columns = [np.concatenate([a, doc[told]]), np.concatenate([b, doc[told]]), np.concatenate([np.zeros(len(a), np.int64), links[told]])]
+    out = [pa.concat_arrays([pa.array(c, pa.int64()), pa.nulls(more, pa.int64())]) for c in columns]
+    for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())):
+        out.append(pa.concat_arrays([pa.nulls(n, kind), pa.array([p[i] for p in pieces], kind)]))
+    return pa.table(out, names=[c.split()[0] for c in ANSWERS.split(", ")])
+
+
+def _open(join: Join, m: dict[str, np.ndarray], who: np.ndarray, element: np.ndarray, edges: list, sums: list, side: np.ndarray | None = None) -> None:
+    """Adds what open members find in their lists."""
+    some = m["need"][who] > 0
+    x, y = read_lists(join, m, who[some], element[some], side)
+    edges.append((m["doc"][x], m["doc"][y]))
+    sums += [(m["doc"][x], m["weight"][y]), (m["doc"][y], m["weight"][x])]
+
+
+def _summed(sums: list) -> list:
+    doc, links = (np.concatenate([s[i] for s in sums]) if sums else np.zeros(0, np.int64) for i in range(2))
+    known, at = np.unique(doc, return_inverse=True)
+    return [(known, np.bincount(at, weights=links, minlength=len(known)).astype(np.int64))]
+
+
 def family_links(home_docs: DataFrame, members: DataFrame, join: Join, buckets: int) -> DataFrame:
     """Forests of links (a, b) inside every family, and rows (a, a, links) that sum up to the documents linked with a.
 
-    members: doc, family, blocks, copies (documents with the very set), home.
+    members: doc, family, count (members of the family), copies (documents with the very set), home.
     """
 
     def beside(left, right):
         doc = right["doc"].to_numpy()
         order = np.argsort(doc, kind="stable")
-        doc, family, blocks, weight = doc[order], *(right[c].to_numpy()[order] for c in ("family", "blocks", "copies"))
+        doc, family, count, weight = doc[order], *(right[c].to_numpy()[order] for c in ("family", "count", "copies"))
         rows = []
         if len(doc):
             for batch in chunks(iter(left.combine_chunks().to_batches())):
                 row, at = matched(ids_of(batch.column(0)), doc)
                 if not len(row):
                     continue
-                texts = batch.column(1).take(pa.array(row))
-                token, off = shingle_sets(texts, join.n)
-                block = (mix(doc[at].astype(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64)
-                # a member goes to every pair of blocks that its own is part of
-                copies = blocks[at]
-                m = np.repeat(np.arange(len(at)), copies)
-                other = np.arange(len(m)) - np.repeat(np.cumsum(copies) - copies, copies)
-                low, high = np.minimum(block[m], other), np.maximum(block[m], other)
-                task = mix(mix(family[at][m].astype(np.uint64)) + (low << 32 | high).astype(np.uint64))
-                for bucket, some in spread((task % np.uint64(buckets)).astype(np.int64), buckets):
-                    some = some[np.argsort(task[some], kind="stable")]
+                token, off = shingle_sets(batch.column(1).take(pa.array(row)), join.n)
+                scattered = mix(doc[at].astype(np.uint64))
+                slices = -(-count[at] // SLICE)
+                own = (scattered % slices.astype(np.uint64)).astype(np.int64)
+                # in a cut family, voters go to all slices, so that each finds the same pivot
+                votes = (slices == 1) | (scattered // np.uint64(1 << 20) % (-(-count[at] // VOTERS)).astype(np.uint64) == 0)
+                copies = np.where(votes, slices, 1)
+                m, piece = _expanded(np.where(votes, 0, own), copies)
+                task = (mix(mix(family[at][m].astype(np.uint64)) + piece.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                for bucket, some in spread(task, buckets):
+                    some = some[np.lexsort((piece[some], family[at][m[some]]))]
                     x = m[some]
                     size = np.diff(off)[x]
-                    place = np.repeat(off[x] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    rows.append((bucket, pack(task=task[some], doc=doc[at][x], right=block[x] == high[some], both=low[some] == high[some], size=size, weight=weight[at][x]), pack(token=token[place])))
+                    _, place = _expanded(off[x], size)
+                    heads = pack(doc=doc[at][x], family=family[at][x], slice=piece[some], slices=slices[x], votes=votes[x], own=own[x] == piece[some], size=size, weight=weight[at][x])
+                    rows.append((bucket, heads, pack(token=token[place])))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "heads", "tokens"])
 
-    def compare(table):
+    def answer(table):
         heads, tokens = unpack(table["heads"].to_pylist()), unpack(table["tokens"].to_pylist())["token"]
-        order = np.lexsort((heads["doc"], heads["task"]))
-        at = np.concatenate([[0], np.cumsum(heads["size"])])
-        task = heads["task"][order]
-        cuts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
-        found = []
-        for s, e in zip(cuts, cuts[1:]):
-            if e > s + 1:
-                of = order[s:e]
-                found.append(linked(join, heads["doc"][of], None if heads["both"][of[0]] else heads["right"][of], [tokens[at[i] : at[i + 1]] for i in of], heads["weight"][of]))
-        a, b, links = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        return pa.table({"a": a, "b": b, "links": links})
+        begin = np.cumsum(heads["size"]) - heads["size"]
+        order = np.lexsort((heads["doc"], heads["slice"], heads["family"]))
+        group = np.cumsum(np.concatenate([[False], (np.diff(heads["family"][order]) != 0) | (np.diff(heads["slice"][order]) != 0)]))
+        edges, sums, pieces = [], [], []
+        for s, e in _portions(np.bincount(group), TOGETHER):
+            of = order[np.searchsorted(group, s) : np.searchsorted(group, e)]
+            size = heads["size"][of]
+            _, place = _expanded(begin[of], size)
+            m = {"family": group[np.searchsorted(group, s) : np.searchsorted(group, e)] - s, **{k: heads[k][of] for k in ("doc", "size", "weight")}}
+            m["delta"], who, element = differences(m["family"], m["doc"], heads["votes"][of], np.concatenate([[0], np.cumsum(size)]), tokens[place])
+            # families in one piece are answered here
+            whole = heads["slices"][of] == 1
+            if whole.any():
+                at = np.cumsum(whole) - 1
+                w = {k: v[whole] for k, v in m.items()}
+                a, b, links, w["need"] = settle(join, w, classes_of(w)[1])
+                edges.append((a, b))
+                sums.append((w["doc"], links))
+                some = whole[who]
+                _open(join, w, at[who[some]], element[some], edges, sums)
+            mine = ~whole & heads["own"][of]
+            for g in np.unique(m["family"][mine]):
+                own = np.flatnonzero(mine & (m["family"] == g))
+                first, last = np.searchsorted(who, own), np.searchsorted(who, own, "right")
+                _, at = _expanded(first, last - first)
+                pieces.append((heads["family"][of][own[0]], heads["slice"][of][own[0]], heads["slices"][of][own[0]], pack(**{k: m[k][own] for k in _MEMBER}), pack(element=element[at])))
+        return _answers(edges, _summed(sums), pieces)
 
     dealt = home_docs.groupBy("home").cogroup(members.groupBy("home")).applyInArrow(beside, "bucket int, heads binary, tokens binary")
-    return dealt.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint, links bigint")
-
-
-def linked(join: Join, doc: np.ndarray, right: np.ndarray | None, sets: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forest of the links among sets (of two blocks: between left and right ones only), then each set's weight of linked ones."""
-    size = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(size, kind="stable")
-    n = len(sets)
-    token = np.concatenate([sets[i] for i in order])
-    who = np.repeat(np.arange(n), size[order])
-    doc, size, weight = doc[order], size[order], weight[order]
-    _, of, count = np.unique(token, return_inverse=True, return_counts=True)
-    core = count * 2 > n
-    # differences from the core: own elements outside it, and elements of it that are missing
-    outside = ~core[of]
-    has = np.zeros((n, int(core.sum())), bool)
-    number = np.cumsum(core) - 1
-    has[who[~outside], number[of[~outside]]] = True
-    lost_who, lost = np.nonzero(~has)
-    shared = outside & (count[of] > 1)
-    delta_size = np.bincount(who[outside], minlength=n) + np.bincount(lost_who, minlength=n)
-    element = np.concatenate([of[shared], lost + len(count)])
-    owner_ = np.concatenate([who[shared], lost_who])
-    by = np.lexsort((owner_, element))
-    element, owner_ = element[by], owner_[by]
-    common = np.zeros((n, n), np.int32)
-    cuts = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1], [True]])) if len(element) else np.zeros(1, int)
-    for s, e in zip(cuts, cuts[1:]):
-        if e > s + 1:
-            common[np.ix_(owner_[s:e], owner_[s:e])] += 1
-    apart = delta_size[:, None] + delta_size[None, :] - 2 * common
-    total = size[:, None] + size[None, :]
-    near = 100 * (total - apart) >= join.percent * (total + apart)
-    if right is not None:
-        right = right[order]
-        near &= right[:, None] != right[None, :]
-    np.fill_diagonal(near, False)
-    links = near @ weight
-    some = np.flatnonzero(links)
-    x, y = np.nonzero(np.triu(near))
-    node, root = forest(doc[x], doc[y])
-    return np.concatenate([node, doc[some]]), np.concatenate([root, doc[some]]), np.concatenate([np.zeros(len(node), np.int64), links[some]])
+    answers = cut(dealt.groupBy("bucket").applyInArrow(answer, ANSWERS))
+    pieces = answers.where("slice is not null").select("family", "slice", "slices", "heads", "elements")
+    told = answers.where("slice is null").select("a", "b", "links")
+    if not pieces.limit(1).count():
+        return told
+    return told.unionByName(cut_family_links(pieces, join))
+
+
+def cut_family_links(pieces: DataFrame, join: Join) -> DataFrame:
+    """The same for families in several slices: classes are summed up, and slices with open members meet in pairs."""
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for family, slices, heads in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                m = unpack([heads])
+                _, c = classes_of(m | {"family": np.zeros(len(m["doc"]), np.int64)})
+                n = len(c["doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, family)), pa.array(np.full(n, slices)), *(pa.array(c[k]) for k in ("size", "delta", "weight", "doc"))], ["family", "slices", "size", "delta", "weight", "doc"])
+
+    def settled(left, right):
+        if not left.num_rows:
+            return _answers([], [])
+        heads, elements = left["heads"].to_pylist(), left["elements"].to_pylist()
+        m = unpack(heads)
+        zero = np.zeros(len(m["doc"]), np.int64)
+        c = {k: right[k].to_numpy() for k in ("size", "delta", "weight", "doc")}
+        a, b, links, need = settle(join, m | {"family": zero}, c | {"family": np.zeros(len(c["doc"]), np.int64)})
+        some, pieces_ = need > 0, []
+        if some.any():
+            element = unpack(elements)["element"]
+            _, place = _expanded((np.cumsum(m["delta"]) - m["delta"])[some], m["delta"][some])
+            pieces_.append((left["family"][0].as_py(), left["slice"][0].as_py(), left["slices"][0].as_py(), pack(**{k: m[k][some] for k in _MEMBER}, need=need[some]), pack(element=element[place])))
+        return _answers([(a, b)], [(m["doc"], links)], pieces_)
+
+    def meet(table):
+        m = unpack(table["heads"].to_pylist())
+        element = unpack(table["elements"].to_pylist())["element"]
+        side = np.repeat(table["slice"].to_numpy(), [len(unpack([h])["doc"]) for h in table["heads"].to_pylist()])
+        alone = table.num_rows == 1 and table["low"][0].as_py() == table["high"][0].as_py()
+        m["family"] = np.zeros(len(m["doc"]), np.int64)
+        edges, sums = [], []
+        if alone or table.num_rows == 2:
+            _open(join, m, np.repeat(np.arange(len(m["doc"])), m["delta"]), element, edges, sums, None if alone else side)
+        return _answers(edges, _summed(sums))
+
+    summed = pieces.select("family", "slices", "heads").mapInArrow(classes, "family bigint, slices bigint, size bigint, delta bigint, weight bigint, doc bigint")
+    summed = summed.groupBy("family", "slices", "size", "delta").agg(F.sum("weight").alias("weight"), F.min("doc").alias("doc"))
+    each = summed.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).drop("slices")
+    first = cut(pieces.groupBy("family", "slice").cogroup(each.groupBy("family", "slice")).applyInArrow(settled, ANSWERS))
+    open_ = first.where("slice is not null").select("family", "slice", "slices", "heads", "elements")
+    pairs = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
+    pairs = pairs.select("family", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice", "heads", "elements")
+    met = pairs.groupBy("family", "low", "high").applyInArrow(meet, ANSWERS)
+    return first.where("slice is null").select("a", "b", "links").unionByName(met.select("a", "b", "links"))
 
 
 def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -352,9 +571,9 @@ def links_of(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     edges = cut(candidates(docs, join, buckets))
     # copies of a set hold families together, but only the first of them is compared
     families = cut(components(edges.select("a", "b")).join(edges.where("same").select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
-    counted = families.join(families.groupBy("label").count().where("count > 1"), "label")
+    counted = looked_up(families, "label", families.groupBy("label").count().where("count > 1"), "node")
     counted = counted.join(copies_of(edges), "node", "left")
-    members = counted.select(F.col("node").alias("doc"), F.col("label").alias("family"), F.ceil(F.col("count") / BLOCK).cast("bigint").alias("blocks"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), F.pmod("node", F.lit(homes)).cast("int").alias("home"))
+    members = counted.select(F.col("node").alias("doc"), F.col("label").alias("family"), "count", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), F.pmod("node", F.lit(homes)).cast("int").alias("home"))
     return edges, cut(family_links(housed(docs, homes), members, join, buckets))
 
 
@@ -381,8 +600,8 @@ def link_counts(edges: DataFrame, links: DataFrame) -> DataFrame:
     first = sets.select("node", (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
     same = edges.where("same")
     above = same.select(F.col("a").alias("b"), F.col("b").alias("root"))
-    rep = same.select(F.col("a").alias("copy"), "b").join(above, "b", "left").select("copy", F.coalesce("root", "b").alias("node"))
-    return first.unionByName(rep.join(first, "node").select(F.col("copy").alias("node"), "n_links"))
+    rep = looked_up(same.select(F.col("a").alias("copy"), "b"), "b", above, "copy", "left").select("copy", F.coalesce("root", "b").alias("node"))
+    return first.unionByName(looked_up(rep, "node", first, "copy").select(F.col("copy").alias("node"), "n_links"))
 
 
 def link_components(docs: DataFrame, join: Join) -> DataFrame:
@@ -392,10 +611,8 @@ def link_components(docs: DataFrame, join: Join) -> DataFrame:
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """The rows of `docs`, all columns, of one document (the least id) of each component."""
-    own = [c for c in ("_node", "_label") if c in docs.columns]
-    if own:
-        raise ValueError(f"columns named {own} are used by the operator itself")
+    (node,) = free(docs.columns, "node")
     labels = link_components(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]), join)
-    gone = labels.where("node <> label").select(F.col("node").alias("_node"))
-    keyed = docs.withColumn("_node", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    return keyed.join(gone, "_node", "left_anti").drop("_node")
+    gone = labels.where("node <> label").select(F.col("node").alias(node))
+    keyed = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+    return keyed.join(gone, node, "left_anti").select(docs.columns)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.store import partitions
+from tidewright.llm.store import buckets_for
 from tidewright.llm.textkernel import _power, chunks, flat, mix, owner, prefix_hash, sliding_min, span_hash
 
 #: Anchors that a task holds before it sends them off; bits of a place in the order of anchors.
@@ -408,6 +408,6 @@ def covered(rule: Rule, off: np.ndarray, ids: np.ndarray, a: dict[str, np.ndarra
 
 
 def sizes(docs: DataFrame) -> tuple[int, int]:
-    """Buckets and homes: as many as shuffle partitions, the latter a prime, for ids that come in steps."""
-    n = partitions(docs.sparkSession)
+    """Buckets and homes for the size of the texts, the latter a prime, for ids that come in steps."""
+    n = buckets_for(docs)
     return n, prime_over(2 * n)

@@ -3,28 +3,35 @@ r"""Quality rules: base counts of a text, then robust multivariate outliers.
 Counts (words, signs, repeated lines and windows) come from one vectorised pass
 over each text.  They are transformed to a vector of six; for every language
 and source a minimum-covariance-determinant estimate of centre and scatter is
-found by concentration steps: distances to the present estimate are put in
-bins, the bins' moments are summed over all rows (one small aggregate), and
-the nearest three quarters give the next estimate; the last one is scaled by the
-median distance, and spreads below STATS are raised to it.  A document far from its
-group's estimate (Mahalanobis) is rejected.
+sought from several starts (medians and quartile ranges, and small subsets of
+rows) by concentration steps: distances to the present estimate are put in bins,
+the bins' moments are summed over all rows (one small aggregate), and the nearest
+three quarters give the next estimate.  Of the starts the one of least
+determinant goes on.  A subset's scatter is made consistent with normal
+variables, the last one by the median distance; spreads below STATS are raised
+to it.  A document far from its group's estimate (Mahalanobis) is rejected.
+
+A group of few rows borrows: a language and source of fewer than LEAST_ROWS usable
+rows is judged by its language, that by its source, that by all rows.
 
 Defined results: a null or empty text has zero counts and fails the base rule;
-null language or source is a group of its own; a group with fewer than
-LEAST_ROWS usable rows rejects nothing by distance; repeated rows are judged
-alike; extra columns are not read.
+null language or source is a group of its own; rows that fail the base rule have
+no say in an estimate; a very long text is judged like any other; repeated rows
+are judged alike; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.components import looked_up
 from tidewright.llm.store import cut
 from tidewright.llm.textkernel import IS_WORD, byte_symbols, chunks, flat, mix, owner, prefix_hash, span_hash, windows, word_bounds
 
@@ -32,11 +39,13 @@ from tidewright.llm.textkernel import IS_WORD, byte_symbols, chunks, flat, mix,
 SYMBOLS, WINDOW, LEAST_WORDS, REPEATED_PERCENT = b"#*$%&|<>", 5, 10, 20
 #: Names of the transformed statistics and the least spread that is taken for each.
 STATS = {"x_len": 0.6, "x_word": 0.12, "x_sign": 0.35, "x_lines": 0.12, "x_repeat": 0.25, "x_upper": 0.08}
-#: Share of rows in the subset, concentration steps, bins of a step, rows below which a group has no verdict.
-SUBSET, C_STEPS, BINS, LEAST_ROWS = 0.75, 4, 48, 40
+#: Share of rows in the subset; concentration steps of every start, and of the best one; bins of a step; rows below which a group borrows.
+SUBSET, START_STEPS, C_STEPS, BINS, LEAST_ROWS = 0.75, 2, 3, 48, 60
+#: Starts from small subsets (beside the medians), and rows of such a subset.
+SUBSET_STARTS, START_ROWS = 2, 12
 #: Squared distance beyond which a document is rejected: of a chi-squared variable with 6 degrees, one in twenty million is larger.
 CUTOFF = 45.0
-#: Groups whose estimates are broadcast; beyond, they are joined by shuffle.
+#: Estimates that are broadcast at most; beyond, they are looked up by shuffle.
 BROADCAST_GROUPS = 20_000
 
 _IS_SYMBOL = np.zeros(256, bool)
@@ -134,16 +143,40 @@ def base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
 
 
-ESTIMATE = "lang string, source string, rows bigint, centre array<double>, scatter array<double>, inverse array<double>"
-_KEYS = ("lang", "source")
+ESTIMATE = "group bigint, start int, centre array<double>, scatter array<double>, inverse array<double>, spread double"
+_STATS = list(STATS)
+
+
+def _group(level: int):
+    """Key of a row's group: by language and source (0), language (1), source (2), or of all rows (3)."""
+    lang, source = (F.col(c) if level in of else F.lit(None).cast("string") for c, of in (("lang", (0, 1)), ("source", (0, 2))))
+    return F.xxhash64(F.lit(level), lang.isNull(), F.coalesce(lang, F.lit("")), source.isNull(), F.coalesce(source, F.lit("")))
+
+
+def _below(x: float, degrees: int) -> float:
+    """Share of a chi-squared variable of even degrees that is at most x."""
+    term, total = 1.0, 0.0
+    for k in range(degrees // 2):
+        total += term
+        term *= x / 2 / (k + 1)
+    return 1 - math.exp(-x / 2) * total
 
 
-def _floored(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse of the scatter, directions narrower than the least spreads raised to them, and each direction's share of its width."""
+def consistency(share: float) -> float:
+    """How much narrower the nearest share of normal rows is than all of them."""
+    low, high, d = 0.0, 200.0, len(STATS)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _below(middle, d) < share else (low, middle)
+    return _below(high, d + 2) / share
+
+
+def _floored(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Inverse of the scatter, directions narrower than the least spreads raised to them; each direction's share of its width; log-determinant."""
     least = np.array(list(STATS.values()))
     width, axis = np.linalg.eigh(scatter / np.outer(least, least))
     axis = axis / least[:, None]
-    return (axis / np.maximum(width, 1)) @ axis.T, np.clip(width, 0, 1)
+    return (axis / np.maximum(width, 1)) @ axis.T, np.clip(width, 0, 1), float(np.log(np.maximum(width, 1)).sum())
 
 
 def _median(weights: np.ndarray) -> float:
@@ -152,31 +185,42 @@ def _median(weights: np.ndarray) -> float:
     return max(0.0, total * (1 - 2 * (weights**2).sum() / (9 * total**2)) ** 3) if total else 0.0
 
 
-def _first(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Start: medians, and quartile ranges as spreads."""
-    q = np.stack(pdf["quartiles"].map(np.stack))
-    out = pdf[[*_KEYS, "rows"]].copy()
-    out["centre"] = [list(x[:, 1]) for x in q]
-    scatter = [np.diag(((x[:, 2] - x[:, 0]) / 1.349) ** 2) for x in q]
-    out["scatter"] = [list(x.ravel()) for x in scatter]
-    out["inverse"] = [list(_floored(x)[0].ravel()) for x in scatter]
-    return out
+def _estimates(group, start, centre: list, scatter: list) -> pd.DataFrame:
+    inverse, _, spread = zip(*map(_floored, scatter)) if len(scatter) else ((), (), ())
+    return pd.DataFrame({"group": group, "start": start, "centre": [list(c) for c in centre], "scatter": [list(x.ravel()) for x in scatter], "inverse": [list(x.ravel()) for x in inverse], "spread": list(spread)})
+
+
+def _square(upper: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(STATS), len(STATS)))
+    out[np.triu_indices(len(STATS))] = upper
+    return out + out.T - np.diag(np.diag(out))
+
+
+def _from_quartiles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Start 0: medians, and quartile ranges as spreads."""
+    for pdf in parts:
+        q = [np.stack(x) for x in pdf["quartiles"]]
+        yield _estimates(pdf["group"].to_numpy(), 0, [x[:, 1] for x in q], [np.diag(((x[:, 2] - x[:, 0]) / 1.349) ** 2) for x in q])
+
+
+def _from_moments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Starts from the sums of small subsets."""
+    for pdf in parts:
+        centre = [np.asarray(s) / n for s, n in zip(pdf["s1"], pdf["n"])]
+        scatter = [_square(np.asarray(s) / n) - np.outer(c, c) for s, n, c in zip(pdf["s2"], pdf["n"], centre)]
+        yield _estimates(pdf["group"].to_numpy(), pdf["start"].to_numpy(), centre, scatter)
 
 
 def _next(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The estimate from one group's bins: the nearest SUBSET of its rows."""
+    """The estimate from the bins of one group and start: the nearest SUBSET of its rows."""
     pdf = pdf.sort_values("bin")
     reached = pdf["n"].cumsum().to_numpy()
     total = int(reached[-1])
     used = pdf.iloc[: int(np.searchsorted(reached, SUBSET * total)) + 1]
-    d, n = len(STATS), float(used["n"].sum())
+    n = float(used["n"].sum())
     centre = np.stack(used["s1"].to_list()).sum(0) / n
-    second = np.zeros((d, d))
-    second[np.triu_indices(d)] = np.stack(used["s2"].to_list()).sum(0) / n
-    second = second + second.T - np.diag(np.diag(second))
-    share = min(1.0, n / total)
-    scatter = (second - np.outer(centre, centre)) / max(0.35, share * 0.9)  # the subset is narrower than the whole
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "source": [pdf["source"].iloc[0]], "rows": [total], "centre": [list(centre)], "scatter": [list(scatter.ravel())], "inverse": [list(_floored(scatter)[0].ravel())]})
+    scatter = _square(np.stack(used["s2"].to_list()).sum(0) / n) - np.outer(centre, centre)
+    return _estimates([pdf["group"].iloc[0]], [pdf["start"].iloc[0]], [centre], [scatter / consistency(min(1.0, n / total))])
 
 
 def _scaled(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,50 +230,74 @@ def _scaled(pdf: pd.DataFrame) -> pd.DataFrame:
     half, reached = n.sum() / 2, n.cumsum()
     at = int(np.searchsorted(reached, half))
     median = np.expm1((pdf["bin"].iloc[at] + 1 - (reached[at] - half) / n[at]) / 6)
-    out = pdf[[*_KEYS, "rows", "centre", "scatter"]].iloc[:1].copy()
-    scatter = np.array(out["scatter"].iloc[0]).reshape(len(STATS), -1)
+    scatter = np.array(pdf["scatter"].iloc[0]).reshape(len(STATS), -1)
     expected = _median(_floored(scatter)[1])
-    scatter = scatter * (median / expected if expected else 1.0)
-    out["scatter"] = [list(scatter.ravel())]
-    out["inverse"] = [list(_floored(scatter)[0].ravel())]
-    return out
+    return _estimates([pdf["group"].iloc[0]], [0], [pdf["centre"].iloc[0]], [scatter * (median / expected if expected else 1.0)])
 
 
-def _with(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
-    """Adds `distance` (squared) to every row."""
-    side = estimates.select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), F.col("rows").alias("e_rows"), "centre", "inverse")
-    side = F.broadcast(side) if groups <= BROADCAST_GROUPS else side
+def _with(rows: DataFrame, estimates: DataFrame, count: int, how: str = "inner") -> DataFrame:
+    """Adds `start` and `distance` (squared) to every row, for each estimate of its group."""
+    side = estimates.select("group", "start", "centre", "inverse")
+    if count <= BROADCAST_GROUPS:
+        joined = rows.join(F.broadcast(side), "group", how)
+    else:
+        packed = side.groupBy("group").agg(F.collect_list(F.struct("start", "centre", "inverse")).alias("e"))  # a few starts
+        joined = looked_up(rows, "group", packed, "doc_id", how).select("*", F.explode_outer("e").alias("of")).select("*", "of.*").drop("e", "of")
     d = len(STATS)
-    delta = [F.col(s) - F.col("centre")[i] for i, s in enumerate(STATS)]
+    delta = [F.col(s) - F.col("centre")[i] for i, s in enumerate(_STATS)]
     square = sum((delta[i] * delta[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
-    joined = rows.join(side, F.equal_null("lang", "e_lang") & F.equal_null("source", "e_source"), "left")
-    return joined.withColumn("distance", square).drop("e_lang", "e_source", "centre", "inverse")
+    return joined.withColumn("distance", square).drop("centre", "inverse")
+
+
+def references(usable: DataFrame) -> DataFrame:
+    """The group that judges each language and source: (lang, source, level, group)."""
+    sizes = cut(usable.groupBy("lang", "source").agg(F.count("*").alias("rows")))
+    of_lang, of_source = (F.sum("rows").over(Window.partitionBy(c)) for c in ("lang", "source"))
+    level = F.when(F.col("rows") >= LEAST_ROWS, 0).when(of_lang >= LEAST_ROWS, 1).when(of_source >= LEAST_ROWS, 2).otherwise(3)
+    group = F.when(F.col("level") == 0, _group(0)).when(F.col("level") == 1, _group(1)).when(F.col("level") == 2, _group(2)).otherwise(_group(3))
+    return cut(sizes.withColumn("level", level).withColumn("group", group).select("lang", "source", "level", "group"))
+
+
+def estimate(usable: DataFrame, judges: DataFrame) -> tuple[DataFrame, int]:
+    """Centre and inverse scatter of every group that judges some rows, over all usable rows of the group, and their number."""
+    levels = [r["level"] for r in judges.select("level").distinct().collect()]  # four at most
+    needed = judges.select("group").distinct()
+    groups = needed.count()
+    rows = usable.select("doc_id", *_STATS, F.explode(F.array(*(_group(i) for i in sorted(levels)))).alias("group")) if levels else usable.withColumn("group", _group(0))
+    rows = rows.join(F.broadcast(needed) if groups <= BROADCAST_GROUPS else needed, "group", "left_semi")
+    s1 = F.array(*(F.sum(s) for s in _STATS)).alias("s1")
+    s2 = F.array(*(F.sum(F.col(a) * F.col(b)) for i, a in enumerate(_STATS) for b in _STATS[i:])).alias("s2")
+    quartiles = F.array(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 2000) for s in _STATS)).alias("quartiles")
+    starts = rows.groupBy("group").agg(quartiles).mapInPandas(_from_quartiles, ESTIMATE)
+    for k in range(1, SUBSET_STARTS + 1):
+        order = Window.partitionBy("group").orderBy(F.xxhash64("doc_id", F.lit(k)), *_STATS)
+        few = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= START_ROWS)  # ranked before the exchange
+        starts = starts.unionByName(few.groupBy("group").agg(F.count("*").alias("n"), s1, s2, F.lit(k).alias("start")).mapInPandas(_from_moments, ESTIMATE))
+    present = cut(starts)
+    place = F.least(F.floor(6 * F.log1p(F.col("distance"))), F.lit(BINS - 1)).cast("int").alias("bin")
 
+    def binned(*more):
+        return _with(rows, present, groups * (SUBSET_STARTS + 1)).select("group", "start", *_STATS, place).groupBy("group", "start", "bin").agg(F.count("*").alias("n"), *more)
 
-def estimate(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Centre and inverse scatter of every language and source, over all usable rows, and the number of groups."""
-    usable = rows.where(~base_failed())
-    quartiles = F.array(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 2000) for s in STATS)).alias("quartiles")
-    start = usable.groupBy(*_KEYS).agg(F.count("*").alias("rows"), quartiles)
-    present = cut(start.mapInPandas(lambda it: map(_first, it), ESTIMATE))
-    groups = present.count()
-    names = list(STATS)
-    first = F.array(*(F.sum(s) for s in names)).alias("s1")
-    second = F.array(*(F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:])).alias("s2")
-    place = F.least(F.floor(6 * F.log1p(F.col("distance"))), F.lit(BINS - 1)).cast("int").alias("bin")
-    for _ in range(C_STEPS):
-        bins = _with(usable, present, groups).select(*_KEYS, *names, place).groupBy(*_KEYS, "bin").agg(F.count("*").alias("n"), first, second)
-        present = cut(bins.groupBy(*_KEYS).applyInPandas(_next, ESTIMATE))
-    bins = _with(usable, present, groups).select(*_KEYS, place).groupBy(*_KEYS, "bin").agg(F.count("*").alias("n"))
-    last = present.drop("inverse").withColumnsRenamed({k: f"e_{k}" for k in _KEYS})
-    both = bins.join(last, F.equal_null("lang", "e_lang") & F.equal_null("source", "e_source")).drop("e_lang", "e_source")
-    return cut(both.groupBy(*_KEYS).applyInPandas(_scaled, ESTIMATE)), groups
+    for step in range(START_STEPS + C_STEPS):
+        present = cut(binned(s1, s2).groupBy("group", "start").applyInPandas(_next, ESTIMATE))
+        if step == START_STEPS - 1:
+            best = F.min_by(F.struct(*(c.split()[0] for c in ESTIMATE.split(", "))), F.struct("spread", "start"))
+            present = cut(present.groupBy("group").agg(best.alias("e")).select("e.*"))
+    last = present.select("group", "centre", "scatter")
+    return cut(binned().join(last, "group").groupBy("group").applyInPandas(_scaled, ESTIMATE)), groups
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Counts, base verdict, squared distance and final verdict of every document."""
     rows = cut(statistics(docs))
-    estimates, groups = estimate(rows)
-    verdict = ~F.col("base_failed") & ~F.coalesce((F.col("e_rows") >= LEAST_ROWS) & (F.col("distance") > cutoff), F.lit(False))
+    usable = rows.where(~base_failed())
+    judges = references(usable)
+    estimates, groups = estimate(usable, judges)
+    named = judges.select(F.col("lang").alias("j_lang"), F.col("source").alias("j_source"), "group")
+    if groups <= BROADCAST_GROUPS:
+        named = F.broadcast(named) if judges.count() <= BROADCAST_GROUPS else named
+    of = rows.join(named, F.equal_null("lang", "j_lang") & F.equal_null("source", "j_source"), "left")
+    verdict = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
     counted = [c.split()[0] for c in COUNTS.split(", ")]
-    return _with(rows, estimates, groups).withColumn("base_failed", base_failed()).withColumn("kept", verdict).select("doc_id", *counted, "base_failed", "kept", "distance")
+    return _with(of, estimates, groups, "left").withColumn("base_failed", base_failed()).withColumn("kept", verdict).select("doc_id", *counted, "base_failed", "kept", "distance")

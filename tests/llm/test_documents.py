@@ -160,6 +160,35 @@ def test_decode(spark, docs, path):
         assert r.text == library.decode(ids[r.doc_id], skip_special_tokens=False)
 
 
+def test_pairs_stay_apart_as_exact_merging_says(path):
+    model, r = bpe.SpeculativeBpe(path), np.random.default_rng(3)
+    assert model.sound.mean() > 0.9
+    units = model._units
+    ids = np.flatnonzero(model.sound)
+    inner = np.array([i for i in ids if not model.name[i].endswith(model.end)])
+    for i in r.choice(len(model.names), 3000):
+        if i in model.name and model.name[i] not in model.special and model.sound[i]:
+            assert model.merged(units(model.name[i])) == [model.name[i]]
+    short = np.array([i for i in inner if len(model.name[i]) <= 4])
+    a = np.concatenate([r.choice(inner, 6000), r.choice(short, 6000)])
+    b = np.concatenate([r.choice(ids, 6000), r.choice(short, 6000)])
+    got = model.apart(a, b)
+    want = [model.merged(units(model.name[x]) + units(model.name[y])) == [model.name[x], model.name[y]] for x, y in zip(a, b)]
+    assert got.tolist() == want and 0.02 < got.mean() < 0.98
+
+
+def test_decoding_leaves_out_unknown_ids(spark, path):
+    encoded = spark.createDataFrame([(1, [320, 10**6, 1929]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
+    model = bpe.SpeculativeBpe(path)
+    assert {r.doc_id: r.text for r in bpe.decode_documents(encoded, path).collect()} == {1: f"{model.name[320]} {model.name[1929]}", 2: "", 3: ""}
+
+
+def test_kept_columns(docs, path):
+    got = bpe.encode_documents(docs, path, "ids", keep=("source", "text"))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "source", "text"]
+    assert all(len(r.ids) == r.n_tokens for r in got.collect())
+
+
 def test_forgetting_keeps_results(path, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     small, large = bpe.SpeculativeBpe(path), bpe.SpeculativeBpe(path)

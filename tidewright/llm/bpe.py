@@ -1,17 +1,20 @@
 r"""BPE encoding and decoding by speculation and verification.
 
 A pre-token (word) is first cut by greedy longest match, which is cheap.  A cut
-is the BPE result exactly if every adjacent pair of tokens is itself a BPE
-result, so the pairs of all new words of a batch are gathered into one array,
-looked up together, and only words with a failing pair go through exact
-merging.  Words, pairs and results are remembered within a task up to a fixed
-number.
+is the BPE result exactly if every token is what BPE makes of its own letters and
+every adjacent pair stays apart.  Whether a pair stays apart is seen by undoing
+merges on both sides of the seam, the latest first: it does unless two tokens
+that face each other at some time have a merge of their own that comes before
+either is merged elsewhere.  All adjacent pairs of all new words of a batch are
+undone together, as arrays with one table look-up a step; only words with a
+failing pair go through exact merging.  Words' ids are remembered within a task
+up to a fixed number.  Decoding takes the ids alone.
 
 Defined results: a null text is an empty text; an empty text or one of white
 space only has no tokens (digest of the empty string); special-token strings
-in a text become their ids, as in the library's default; repeated rows and
-clashing extra columns are no concern, since only the two named columns are
-read.
+in a text become their ids, as in the library's default; a very long text is
+one text, its words handled like others; repeated rows are encoded alike; an
+empty table gives no rows; other columns are not read, and kept if asked for.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -36,6 +40,7 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Remembered words or pairs in a task.
 REMEMBERED = 500_000
+_NEVER = np.int64(1 << 60)
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -57,9 +62,48 @@ class SpeculativeBpe:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level letters: printable bytes stand for themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.chunk: dict[str, tuple[int, str, str]] = {}
-        self.pair: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.chunk: dict[str, tuple[int, str]] = {}
+        self.names = pa.array([self.name.get(i, "") for i in range(max(self.name, default=-1) + 1)], pa.string())
+        self._tables()
+
+    def _tables(self) -> None:
+        """Merges as arrays: each token's latest merge and its halves, and the rank of every pair that has a merge."""
+        n = len(self.names)
+        self.made, self.left, self.right = (np.full(n, -1, np.int64) for _ in range(3))
+        pairs = np.array([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in self.rank], np.int64).reshape(-1, 3)
+        ranks = np.array(list(self.rank.values()), np.int64)
+        whole, first = np.unique(pairs[:, 2], return_index=True)  # of several merges that make one token, the earliest
+        self.made[whole], self.left[whole], self.right[whole] = ranks[first], pairs[first, 0], pairs[first, 1]
+        key = pairs[:, 0] << 32 | pairs[:, 1]
+        order = np.argsort(key)
+        self.pair_key, self.pair_rank = np.append(key[order], -1), np.append(ranks[order], _NEVER)
+        # undoing by rank is undoing in time only if no merge comes before those of its halves
+        in_time = bool((ranks > self.made[pairs[:, :2]].max(axis=1, initial=-1)).all())
+        self.sound = np.zeros(n, bool)  # tokens that BPE makes of their own letters, by their earliest merge
+        if in_time:
+            for t, i in self.vocab.items():
+                self.sound[i] = self.made[i] < 0 and len(self._units(t)) == 1
+            apart = self.apart(self.left[whole], self.right[whole], ranks[first])
+            for k in np.argsort(ranks[first]).tolist():
+                t = whole[k]
+                self.sound[t] = apart[k] and self.sound[self.left[t]] and self.sound[self.right[t]]
+
+    def apart(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | int = _NEVER) -> np.ndarray:
+        """Which pairs (a, b) of sound tokens BPE keeps apart, regarding merges before the rank `until`."""
+        out, at = np.ones(len(a), bool), np.arange(len(a))
+        u, v = a.copy(), b.copy()
+        u_gone, v_gone = (np.full(len(a), until, np.int64) for _ in range(2))  # rank of the merge that takes each away
+        while len(at):
+            place = np.searchsorted(self.pair_key[:-1], u << 32 | v)
+            rank = np.where(self.pair_key[place] == (u << 32 | v), self.pair_rank[place], _NEVER)
+            meet = (rank < u_gone) & (rank <= v_gone)  # equal ranks: the leftmost pair goes first
+            out[at[meet]] = False
+            more = ~meet & ((self.made[u] >= 0) | (self.made[v] >= 0))
+            at, u, v, u_gone, v_gone = at[more], u[more], v[more], u_gone[more], v_gone[more]
+            left = self.made[u] > self.made[v]  # the later one is undone; of equal ones the right one was made later
+            u_gone, v_gone = np.where(left, self.made[u], u_gone), np.where(left, v_gone, self.made[v])
+            u, v = np.where(left, self.right[u], u), np.where(left, v, self.left[v])
+        return out
 
     # -- exact merging -------------------------------------------------
     def merged(self, symbols: list[str]) -> list[str]:
@@ -112,21 +156,6 @@ class SpeculativeBpe:
             i = stop
         return out
 
-    def compatible(self, a: int, b: int) -> bool:
-        known = self.pair.get((a, b))
-        if known is None:
-            if len(self.pair) > REMEMBERED:
-                self.pair.clear()
-            known = self.merged(self._units(self.name[a]) + self._units(self.name[b])) == [self.name[a], self.name[b]]
-            self.pair[a, b] = known
-        return known
-
-    def single(self, a: int) -> bool:
-        known = self.alone.get(a)
-        if known is None:
-            known = self.alone[a] = self.merged(self._units(self.name[a])) == [self.name[a]]
-        return known
-
     def words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each word (byte-level letters): propose, check all pairs at once, merge only what fails."""
         cuts = [self.greedy(w) for w in words]
@@ -134,18 +163,12 @@ class SpeculativeBpe:
         ids = np.fromiter((i for c in cuts for i in c), np.int64, int(sizes.sum()))
         of = np.repeat(np.arange(len(cuts)), sizes)
         ok = sizes > 0
-        if len(ids) > 1:
-            inner = of[1:] == of[:-1]
-            keys, back = np.unique((ids[:-1] << 20 | ids[1:])[inner], return_inverse=True)
-            good = np.fromiter((self.compatible(int(k) >> 20, int(k) & 0xFFFFF) for k in keys), bool, len(keys))
-            ok[of[:-1][inner][~good[back]]] = False
-        out = {}
-        for w, c, fine in zip(words, cuts, ok):
-            if fine and (len(c) > 1 or self.single(c[0])):
-                out[w] = c
-            else:
-                out[w] = [self.vocab[s] for s in self.merged(self.symbols(w, True))]
-        return out
+        ok[of[~self.sound[ids]]] = False
+        inner = np.flatnonzero(of[1:] == of[:-1]) if len(ids) else np.zeros(0, np.int64)
+        inner = inner[ok[of[inner]]]
+        keys, back = np.unique(ids[inner] << 32 | ids[inner + 1], return_inverse=True)
+        ok[of[inner[~self.apart(keys >> 32, keys & 0xFFFFFFFF)[back]]]] = False
+        return {w: c if fine else [self.vocab[s] for s in self.merged(self.symbols(w, True))] for w, c, fine in zip(words, cuts, ok.tolist())}
 
     # -- texts -----------------------------------------------------------
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -176,13 +199,13 @@ class SpeculativeBpe:
         ids = self.words(list({w for ws in cut.values() for w in ws}))
         for c, ws in cut.items():
             got = [i for w in ws for i in ids[w]]
-            self.chunk[c] = (len(got), " ".join(map(str, got)), " ".join(map(self.name.__getitem__, got)))
+            self.chunk[c] = (len(got), " ".join(map(str, got)))
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of tokens, ids joined by spaces, decoded text) of each text."""
+    def encode(self, texts: list[str]) -> list[tuple[int, str]]:
+        """(number of tokens, ids joined by spaces) of each text."""
         cut = [[(s, [t] if s else self.pieces(t)) for s, t in self.segments(x)] for x in texts]
         for s, i in self.special.items():
-            self.chunk[s] = (1, str(i), s)
+            self.chunk[s] = (1, str(i))
         new = {c for parts in cut for s, cs in parts for c in cs if not s}.difference(self.chunk)
         if new:
             known = self.chunk
@@ -190,25 +213,33 @@ class SpeculativeBpe:
                 new = {c for parts in cut for s, cs in parts for c in cs if not s}
             self.learn(new)
             for s, i in self.special.items():
-                self.chunk[s] = (1, str(i), s)
+                self.chunk[s] = (1, str(i))
         out = []
         for parts in cut:
             chunks_ = parts[0][1] if len(parts) == 1 else [c for _, cs in parts for c in cs]
             if not chunks_:
-                out.append((0, "", ""))
+                out.append((0, ""))
                 continue
-            counts, ids, names = zip(*map(self.chunk.__getitem__, chunks_))
+            counts, ids = zip(*map(self.chunk.__getitem__, chunks_))
             if 0 in counts:  # a chunk without tokens must not leave a blank
-                ids, names = filter(None, ids), filter(None, names)
-            out.append((sum(counts), " ".join(ids), " ".join(names)))
+                ids = filter(None, ids)
+            out.append((sum(counts), " ".join(ids)))
         return out
 
     def ids(self, text: str) -> list[int]:
         return [int(i) for i in self.encode([text])[0][1].split()]
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, as a tokenizer file without a decoder has it; ids outside the vocabulary give nothing."""
-        return " ".join(self.name[i] for i in ids if i in self.name)
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Text of each list of ids: tokens joined by spaces, as a tokenizer file without a decoder has it; ids outside the vocabulary give nothing."""
+        flat_ids = ids.flatten()
+        known = pc.is_in(flat_ids, pa.array(sorted(self.name), flat_ids.type))
+        if pc.all(known, min_count=0).as_py():
+            return pc.binary_join(pa.ListArray.from_arrays(_offsets(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()), self.names.take(flat_ids)), " ")
+        return self.decode(pa.array([[i for i in x or [] if i in self.name] for x in ids.to_pylist()], ids.type))
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
 _loaded: dict[str, SpeculativeBpe] = {}
@@ -220,27 +251,30 @@ def _model(path: str) -> SpeculativeBpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, ids_column: str | None = None) -> DataFrame:
-    """Tokens of every text: count, digests of ids and decoded text, and the ids themselves under `ids_column` if asked for."""
+def encode_documents(docs: DataFrame, path: str, ids_column: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens of every text: count, digests of ids and decoded text, the ids themselves under `ids_column` if asked for, and the columns `keep` of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in chunks(batches):
             got = model.encode([x or "" for x in batch.column(1).to_pylist()])
+            counts = np.array([n for n, _ in got], np.int64)
+            ids = np.fromstring(" ".join(x for _, x in got if x), np.int32, sep=" ")
+            lists = pa.ListArray.from_arrays(_offsets(counts), pa.array(ids))
             cols = [
                 batch.column(0),
-                pa.array([g[0] for g in got], pa.int64()),
-                pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got]),
-                pa.array([hashlib.sha256(g[2].encode()).hexdigest() for g in got]),
+                pa.array(counts),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for _, x in got], pa.string()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in model.decode(lists).to_pylist()], pa.string()),
+                *([lists] if ids_column else []),
+                *batch.columns[2:],
             ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids_column:
-                cols.append(pa.array([[int(i) for i in g[1].split()] for g in got], pa.list_(pa.int32())))
-                names.append(ids_column)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = SCHEMA + (f", {ids_column} array<int>" if ids_column else "")
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
+    more = [f.simpleString().split(":", 1) for f in (docs.schema[c] for c in keep)]
+    schema = ", ".join([SCHEMA, *([f"`{ids_column}` array<int>"] if ids_column else []), *(f"`{name}` {kind}" for name, kind in more)])
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *([ids_column] if ids_column else []), *keep]
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"], *(docs[c] for c in keep)).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_column: str = "ids") -> DataFrame:
@@ -249,6 +283,6 @@ def decode_documents(encoded: DataFrame, path: str, ids_column: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), model.decode(batch.column(1))], ["doc_id", "text"])
 
     return encoded.select("doc_id", ids_column).mapInArrow(run, "doc_id bigint, text string")

@@ -35,6 +35,54 @@ def test_fingerprints(docs, rows):
     assert len(by_print) == len({t or "" for _, t, *_ in rows})
 
 
+def plain_print(text):
+    """The fingerprint from single spans, each hashed by itself in whole numbers."""
+    value = lambda t: [sum((ord(c) + 1) * pow(b, i, p) for i, c in enumerate(t)) % p for p, b in zip(fingerprint.PRIMES, fingerprint.BASES)]
+    one = lambda t: value(t)[0] << 31 | value(t)[1]
+    spans = {text[i : i + 16] for i in range(len(text) - 15)} if len(text) >= 16 else {text} - {""}
+    scattered = set()
+    for s in spans:
+        x = one(s) * 0x9E3779B97F4A7C15 % 2**64
+        x ^= x >> 29
+        scattered.add(x * 0xBF58476D1CE4E5B9 % 2**64 >> 32)
+    return f"{len(text):x}-{one(text):016x}-", sorted(scattered)
+
+
+def test_likeness_by_brute_force(docs, rows):
+    got = {r.doc_id: r for r in fingerprint.fingerprint_documents(docs).collect()}
+    order = sorted(((r[0], r[1] or "") for r in rows if len(r[1] or "") < 3000), key=lambda r: r[0])
+    whole = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: r[0])
+    following = {i: whole[(k + 1) % len(whole)][1] for k, (i, _) in enumerate(whole)}
+    for i, text in order:
+        new, half = following[i], len(text) // 2
+        if len(new) >= 3000:
+            continue
+        edited = text[: len(text) - half] + new[:half]
+        (head, mine), (edited_head, other), (_, next_) = plain_print(text), plain_print(edited), plain_print(new)
+        r = got[i]
+        assert r.fingerprint == head + "".join(f"{x:08x}" for x in mine[:40])
+        assert r.edited_fingerprint == edited_head + "".join(f"{x:08x}" for x in other[:40])
+        for a, b, equal, have in ((mine, other, text == edited, r.near_edited), (mine, next_, text == new, r.near_next)):
+            least = sorted({*a[:40], *b[:40]})[:40]
+            j = sum(x in a[:40] and x in b[:40] for x in least) / max(1, len(least))
+            want = 1.0 if equal else 2 * j / (1 + j) if a and b else 0.0
+            assert abs(have - want) < 1e-12
+            dice = 2 * len({*a} & {*b}) / max(1, len(a) + len(b))
+            assert abs(have - dice) < 0.35 or equal
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    text = "".join(chr(97 + (i * i) % 23) for i in range(200_000))
+    p = fingerprint.PrefixHashes(text)
+    assert p.span(150_000, 150_100) == fingerprint.PrefixHashes(text[150_000:150_100]).span(0, 100)
+    parts = np.concatenate(list(p.spans(0, len(p))))
+    for at in (0, 65_535, 65_536, 131_072, 199_984):
+        assert parts[at] == p.span(at, at + 16) == fingerprint.PrefixHashes(text[at : at + 16]).span(0, 16)
+    new = fingerprint.PrefixHashes("another text " * 9000)
+    joined = fingerprint.Joined(p, 100_000, new, 90_000)
+    assert fingerprint.fingerprint(joined) == fingerprint.fingerprint(fingerprint.PrefixHashes(joined.text))
+
+
 def test_prefix_hashes_answer_spans():
     text = "the cat and the cat and a dog " * 20
     p = fingerprint.PrefixHashes(text)

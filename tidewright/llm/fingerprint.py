@@ -8,19 +8,22 @@ of the whole text and the least hashes of its spans of a fixed length; the
 spans of an edited text are read off the arrays of the two texts it is made of.
 
 The next document is found by order: documents are dealt out by ranges of
-doc_id, sorted inside a range, and each range also gets the first document of
-the next one.  Ranges come from quantiles of doc_id; only their bounds and
-first ids (one for each range) reach the driver.
+doc_id, one task for each, sorted inside, and each range also gets the first
+document of the next one.  Bounds are quantiles of doc_ids drawn by the size of
+their texts, so ranges are alike in bytes; only bounds and first ids (one for
+each range) reach the driver.
 
 Defined results: a null text is empty; empty texts have a fingerprint of their
-own; the order is doc_id (null first), then a hash of the text, so repeated
-rows follow each other; a single document is its own next; extra columns are
-not read.
+own; a very long text costs eight bytes of prefix arrays and four of code points
+a sign, all else goes by pieces; the order is doc_id (null first), then a hash
+of the text, so repeated rows follow each other; a single document is its own
+next; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +32,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.ranges import rank_in
-from tidewright.llm.store import partitions
+from tidewright.llm.sharding import drawn, quantiles
+from tidewright.llm.store import cut, partitions
 
 #: The two moduli and bases of the polynomials.
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-#: Code points of a span, spans that a fingerprint keeps.
-SPAN, KEPT = 16, 40
+#: Code points of a span, spans that a fingerprint keeps; places of a text worked on together; text bytes of a range, draws for each range.
+SPAN, KEPT, PIECE, RANGE_BYTES, DRAWN = 16, 40, 1 << 16, 8 << 20, 64
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, lce_edited bigint, lce_next bigint"
 
-_tables: list[list[np.ndarray]] = [[np.ones(1, np.int64), np.ones(1, np.int64)] for _ in PRIMES]
 
+def _powers(base: int, p: int) -> np.ndarray:
+    """base^i modulo p for the places of a piece, by doubling."""
+    have = np.ones(1, np.int64)
+    while len(have) < PIECE:
+        have = np.concatenate([have, have * pow(base, len(have), p) % p])
+    return have
 
-def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo the k-th prime for i < n, grown by doubling."""
-    p = PRIMES[k]
-    for way, base in enumerate((BASES[k], pow(BASES[k], -1, p))):
-        have = _tables[k][way]
-        while len(have) < n:
-            have = np.concatenate([have, have * pow(base, len(have), p) % p])
-        _tables[k][way] = have
-    return _tables[k][0], _tables[k][1]
+
+#: For each modulus: it, the base and its inverse, and the powers of both.
+FIELDS = [(p, b, pow(b, -1, p), _powers(b, p), _powers(pow(b, -1, p), p)) for p, b in zip(PRIMES, BASES)]
 
 
 class PrefixHashes:
@@ -57,36 +60,39 @@ class PrefixHashes:
 
     def __init__(self, text: str):
         self.text = text
-        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.size = len(codes)
         self.arrays = []
-        for k, p in enumerate(PRIMES):
-            up, _ = _powers(k, len(self.codes) + 1)
-            prefix = np.zeros(len(self.codes) + 1, np.int64)
-            np.cumsum(self.codes * up[: len(self.codes)] % p, out=prefix[1:])
-            self.arrays.append(prefix % p)
+        for p, base, _, up, _ in FIELDS:
+            prefix = np.zeros(self.size + 1, np.uint32)
+            for s in range(0, self.size, PIECE):
+                part = codes[s : s + PIECE].astype(np.int64) + 1
+                part = part * up[: len(part)] % p
+                if s:
+                    part = part * pow(base, s, p) % p
+                np.cumsum(part, out=part)
+                prefix[s + 1 : s + 1 + len(part)] = (part + int(prefix[s])) % p
+            self.arrays.append(prefix)
 
     def __len__(self) -> int:
-        return len(self.codes)
+        return self.size
 
     def span(self, start: int, end: int) -> int:
         """Hash of [start, end), the same wherever an equal span stands."""
         out = 0
-        for k, p in enumerate(PRIMES):
-            _, down = _powers(k, start + 1)
-            out = out << 31 | (int(self.arrays[k][end]) - int(self.arrays[k][start])) * int(down[start]) % p
+        for (p, _, inverse, _, _), a in zip(FIELDS, self.arrays):
+            out = out << 31 | (int(a[end]) - int(a[start])) * pow(inverse, start, p) % p
         return out
 
-    def spans(self, start: int, end: int, size: int = SPAN) -> np.ndarray:
-        """Hashes of all spans of `size` inside [start, end)."""
-        n = end - start - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        out = np.zeros(n, np.int64)
-        for k, p in enumerate(PRIMES):
-            _, down = _powers(k, end + 1)
-            a = self.arrays[k]
-            out = out << 31 | (a[start + size : end + 1] - a[start : start + n]) % p * down[start : start + n] % p
-        return out
+    def spans(self, start: int, end: int, size: int = SPAN) -> Iterator[np.ndarray]:
+        """Hashes of all spans of `size` inside [start, end), piece by piece."""
+        for s in range(start, end - size + 1, PIECE):
+            n = min(PIECE, end - size + 1 - s)
+            out = np.zeros(n, np.int64)
+            for (p, _, inverse, _, down), a in zip(FIELDS, self.arrays):
+                x = (a[s + size : s + size + n].astype(np.int64) - a[s : s + n]) % p * down[:n] % p
+                out = out << 31 | (x * pow(inverse, s, p) % p if s else x)
+            yield out
 
 
 class Joined:
@@ -104,15 +110,17 @@ class Joined:
         if end <= self.cut:
             return self.left.span(0, end)
         out = 0
-        for k, p in enumerate(PRIMES):
-            up, _ = _powers(k, self.cut + 1)
-            out = out << 31 | (int(self.left.arrays[k][self.cut]) + int(self.right.arrays[k][end - self.cut]) * int(up[self.cut])) % p
+        for (p, base, *_), a, b in zip(FIELDS, self.left.arrays, self.right.arrays):
+            out = out << 31 | (int(a[self.cut]) + int(b[end - self.cut]) * pow(base, self.cut, p)) % p
         return out
 
-    def spans(self, start: int, end: int, size: int = SPAN) -> np.ndarray:
-        seam = PrefixHashes(self.text[max(0, self.cut - size + 1) : self.cut + size - 1])
-        inner = seam.spans(0, len(seam), size) if self.cut and self.size else np.zeros(0, np.int64)
-        return np.concatenate([self.left.spans(0, self.cut, size), inner, self.right.spans(0, self.size, size)])
+    def spans(self, start: int, end: int, size: int = SPAN) -> Iterator[np.ndarray]:
+        """All spans of the whole: those of both parts, and those over the seam."""
+        yield from self.left.spans(0, self.cut, size)
+        yield from self.right.spans(0, self.size, size)
+        if self.cut and self.size:
+            seam = PrefixHashes(self.text[max(0, self.cut - size + 1) : self.cut + size - 1])
+            yield from seam.spans(0, len(seam), size)
 
 
 def common_extension(a: PrefixHashes | Joined, b: PrefixHashes | Joined) -> int:
@@ -136,12 +144,12 @@ def _scatter(x: np.ndarray) -> np.ndarray:
 def fingerprint(text: PrefixHashes | Joined) -> str:
     """Length and hash of the whole text, then the KEPT least span hashes, in hexadecimal."""
     n = len(text)
-    size = min(SPAN, n)
-    spans = _scatter(text.spans(0, n)) if n >= SPAN else _scatter(np.array([text.span(0, n)] if size else [], np.int64))
-    if len(spans) > 8 * KEPT:
-        few = np.unique(np.partition(spans, 4 * KEPT)[: 4 * KEPT])
-        spans = few if len(few) >= KEPT else spans
-    least = np.unique(spans)[:KEPT]
+    few = [np.zeros(0, np.uint64)]
+    for part in text.spans(0, n) if n >= SPAN else [np.array([text.span(0, n)] if n else [], np.int64)]:
+        part = _scatter(part)
+        least = np.unique(np.partition(part, 4 * KEPT)[: 4 * KEPT] if len(part) > 8 * KEPT else part)
+        few.append((least if len(least) >= KEPT else np.unique(part))[:KEPT])
+    least = np.unique(np.concatenate(few))[:KEPT]
     return f"{n:x}-{text.span(0, n):016x}-" + "".join(f"{x:08x}" for x in least.tolist())
 
 
@@ -160,12 +168,14 @@ def likeness(a: str, b: str) -> float:
 def _ordered(docs: DataFrame) -> DataFrame:
     """Documents in sorted ranges, each range followed by the first document of the next (ahead = 1)."""
     plain = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    n = partitions(docs.sparkSession)
-    wanted = ",".join(str(i / n) for i in range(1, n))
-    bounds = plain.agg(F.expr(f"percentile_approx(doc_id, array({wanted}), 10000)").alias("b") if n > 1 else F.lit(None).alias("b")).first()["b"]
-    ranged = plain.withColumn("range", rank_in(F.col("doc_id"), sorted(set(bounds or []))).cast("int"))
+    sizes = cut(plain.select("doc_id", (F.octet_length("text").cast("bigint") + 1).alias("size")))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    n = max(partitions(docs.sparkSession), math.ceil(total / RANGE_BYTES))
+    bounds = quantiles(sizes.select("doc_id", drawn(F.col("size"), total, DRAWN * n, "doc_id", "size").alias("draws")), "doc_id", n)
+    place = rank_in(F.col("doc_id"), bounds).cast("int")
+    ranged = plain.withColumn("range", place)
     # the first id of each range; min() passes over null ids, which come first of all
-    firsts = sorted((r["range"], r["f"], r["nulls"]) for r in ranged.groupBy("range").agg(F.min("doc_id").alias("f"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect())
+    firsts = sorted((r["range"], r["f"], r["nulls"]) for r in sizes.withColumn("range", place).groupBy("range").agg(F.min("doc_id").alias("f"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect())
     if not firsts:
         return ranged.withColumn("ahead", F.lit(0)).withColumn("h", F.lit(0).cast("bigint"))
     ids = [None if nulls and i == 0 else f for i, (_, f, nulls) in enumerate(firsts)]
@@ -174,7 +184,7 @@ def _ordered(docs: DataFrame) -> DataFrame:
     ahead = plain.join(F.broadcast(looked), F.equal_null("doc_id", "first")).select("doc_id", "text", F.col("target").alias("range"), F.lit(1).alias("ahead"))
     both = ranged.select("doc_id", "text", "range", F.lit(0).alias("ahead")).unionByName(ahead)
     both = both.withColumn("h", F.xxhash64("text"))
-    return both.repartition(n, "range").sortWithinPartitions("range", "ahead", F.asc_nulls_first("doc_id"), "h")
+    return both.repartitionById(n, F.col("range")).sortWithinPartitions("range", "ahead", F.asc_nulls_first("doc_id"), "h")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

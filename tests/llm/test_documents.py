@@ -1,10 +1,12 @@
 """Fingerprints, quality rules, secrets, BPE and the classifier against plain versions."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewright.llm import bpe, classifier, fingerprint, rules, secrets
@@ -276,6 +278,31 @@ def test_held_out_accuracy(labelled):
     assert np.mean([g > b for g in good for b in bad]) > 0.97
 
 
+def test_ftrl_by_brute_force():
+    """Per-coordinate updates, one coordinate at a time."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(["aa", "bb", "cc", "dd", "##", "e"], int(r.integers(0, 30)))) for _ in range(60)]
+    labels = r.integers(0, 2, 60)
+    z, n = np.zeros(classifier.DIMENSIONS + 1), np.zeros(classifier.DIMENSIONS + 1)
+    classifier.learn(z, n, pa.array(texts), labels)
+    pz, pn = Counter(), Counter()
+    for t, y in zip(texts, labels):
+        x = Counter({classifier.DIMENSIONS: 1.0})
+        for _, at, value in zip(*classifier.features(pa.array([t]))):
+            x[int(at)] += value
+        w = {}
+        for i in x:
+            w[i] = 0.0 if abs(pz[i]) <= classifier.L1 else -(pz[i] - math.copysign(classifier.L1, pz[i])) / ((classifier.BETA + math.sqrt(pn[i])) / classifier.ALPHA + classifier.L2)
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            pz[i] += g - (math.sqrt(pn[i] + g * g) - math.sqrt(pn[i])) / classifier.ALPHA * w[i]
+            pn[i] += g * g
+    for i in pz:
+        assert abs(z[i] - pz[i]) < 1e-9 and abs(n[i] - pn[i]) < 1e-9
+    assert np.count_nonzero(n) == sum(v > 0 for v in pn.values())
+
+
 def test_training_ignores_held_out_labels(spark, labelled):
     from pyspark.sql import functions as F
 

@@ -74,7 +74,9 @@ def test_mixture_of_odd_tables(odd, empty):
     assert mixing.mix_documents(empty).count() == 0
     got = mixing.mix_documents(odd)
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in odd.collect()}
-    assert got.where("epoch = 0").count() == odd.count()
+    epoch, weight, place = mixing.added(odd.columns)
+    assert (epoch, weight, place) == ("epoch_", "mix_weight", "mix_place") and got.columns == [*odd.columns, epoch, weight, place]
+    assert got.where(f"{epoch} = 0").count() == odd.count() and {r.epoch for r in got.collect()} == {r.epoch for r in odd.collect()}
 
 
 def check_shards(rows, got, shards=8):
@@ -102,6 +104,24 @@ def test_copies_and_overfull_ranges(spark, monkeypatch):
     check_shards(rows, sharding.shard_documents(docs).collect())
 
 
+def test_draws_follow_sizes(spark):
+    """Twenty large records among thousands of small ones: ranges are alike in bytes."""
+    rows = [(i, "x" * 20_000 if i % 200 == 7 else f"text {i}") for i in range(4000)]
+    records = sharding.sized(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    total = sum(len(t) + 1 for _, t in rows)
+    bounds = sharding.splitters(records, total, 64)
+    sizes = Counter()
+    for r in records.collect():
+        sizes[sum(b <= r.key for b in bounds)] += r["size"] * r.copies
+    assert max(sizes.values()) <= 20_001 + 2 * total / 64
+
+
+def test_many_rows_of_one_record(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "AT_ONCE", 100)
+    rows = [(5, "the very same row")] * 2500 + [(None, "no id")] * 700 + [(i, f"text {i}") for i in range(300)]
+    check_shards(rows, sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect())
+
+
 def test_shards_of_odd_tables(odd, empty):
     assert sharding.shard_documents(empty).count() == 0
     check_shards([tuple(r)[:2] for r in odd.collect()], sharding.shard_documents(odd).collect())

@@ -23,8 +23,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_documents(documents(spark, sf_dir), mixing.Target(repetition=2.0))
-    return mixed.select("doc_id", "source", "epoch", "mix_weight", "mix_place")
+    docs = documents(spark, sf_dir)
+    mixed = mixing.mix_documents(docs, mixing.Target(repetition=2.0))
+    own = zip(mixing.added(docs.columns), ("epoch", "mix_weight", "mix_place"))
+    return mixed.select("doc_id", "source", *(mixed[c].alias(name) for c, name in own))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

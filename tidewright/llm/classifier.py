@@ -1,16 +1,20 @@
 """Quality classifier: hashed word n-grams, logistic loss, follow-the-regularised-leader.
 
 Words are cut where letters meet other signs, hashed in place, and each text is
-a sparse row: its words, its word pairs, and its pairs of equal words up to
-eight apart, every n-gram hashed into a fixed number of coordinates.  Training
-runs on shards of a bounded sample of labelled rows; each shard applies
+a sparse row: its words and its word pairs, hashed into a fixed number of
+coordinates, and beside these n-grams LAGS coordinates that tell no word: how
+often a word comes again one to eight words later.  (Texts whose fault is
+repetition have no words of their own; README has the figures with and without.)
+Training runs on shards of a bounded sample of labelled rows; each shard applies
 per-coordinate FTRL updates, the shards' states are averaged, and the next
 round goes on from there.  Scoring is one pass of sparse dot products.
 
-Defined results: a null or empty text has the bias alone as its score; rows
-whose doc_id is null are scored and are not held out; a label row without a
-document, or with a null label, is not used; without any usable label every
-score is 0.5; repeated rows count once each.
+Defined results: a null or empty text has the bias alone as its score; a very
+long text is one row, its values divided by its length; rows whose doc_id is
+null are scored and are not held out; a label row without a document, or with a
+null label, is not used; without any usable label every score is 0.5; repeated
+rows count once each; an empty table gives no rows; extra columns are not read
+by scores and kept by keep_good.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ SCORES = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row index, coordinate and value of all n-grams; a coordinate may come several times in a row."""
+    """Row index, coordinate and value of all n-grams and repetitions; a coordinate may come several times in a row."""
     buf, off = flat(texts)
     starts, ends, first = token_bounds(buf, off)
     n = len(starts)

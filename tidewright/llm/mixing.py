@@ -11,9 +11,10 @@ Only sums over sources reach the driver: each bisection round evaluates, in
 one aggregate, all exponents that its next steps could visit.
 
 Defined results: a null source is a source of its own; a null or empty text
-counts one token, so that every row can be placed; repeated rows are rows of
-their own; an empty table gives no rows; extra columns are kept,
-except those that bear the operator's own names, which are replaced.
+counts one token, so that every row can be placed; a very long text is one row
+and may spend a budget by itself; repeated rows are rows of their own; an empty
+table gives no rows; extra columns are kept, and where one bears the name of a
+column that the operator adds, the operator's name is lengthened (`added`).
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.store import cut
+from tidewright.llm.store import cut, free
 
-#: Blocks of a source; bisection steps of a round and rounds.
-BLOCKS, STEPS, ROUNDS = 1024, 5, 6
-#: Columns that the operator adds for itself.
-_OWN = ("mix_tokens", "mix_block", "mix_key")
+#: Blocks of a source at least, documents of a block on average at most; bisection steps of a round and rounds.
+BLOCKS, BLOCK_ROWS, STEPS, ROUNDS = 1024, 50_000, 5, 6
+
+
+def added(columns: list[str]) -> list[str]:
+    """Names of the operator's columns beside `columns`: epoch, mix_weight and mix_place unless these are taken."""
+    return free(columns, "epoch", "mix_weight", "mix_place")
 
 
 @dataclass(frozen=True)
@@ -98,21 +102,15 @@ def plan(sources: DataFrame, target: Target) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, target: Target = Target()) -> DataFrame:
-    """The mixture: rows of `docs`, each as often as its source's budget says, with `epoch`, `mix_weight` and `mix_place`.
+    """The mixture: rows of `docs`, each as often as its source's budget says, with `epoch`, `mix_weight` and `mix_place` (see `added`).
 
     `mix_place` in [0, epochs of the source) orders a source's rows; divided by
     the source's epochs it interleaves all sources in proportion to their weights.
     """
-    docs = docs.drop(*_OWN, "mix_source", "epoch", "mix_weight", "mix_place")
-    sized = cut(
-        docs.withColumn("mix_tokens", token_count())
-        .withColumn("mix_key", F.xxhash64("doc_id", "text"))
-        .withColumn("mix_block", F.pmod(F.col("mix_key"), F.lit(BLOCKS)).cast("int"))
-        .select("doc_id", "source", *_OWN)
-        .groupBy("source", "mix_block", "mix_key")
-        .agg(F.sum("mix_tokens").alias("mix_tokens"))
-    )
-    return _realise(docs, sized, target)
+    plain = docs.select(docs["source"].cast("string").alias("source"), docs["text"], F.xxhash64(docs["doc_id"], docs["text"]).alias("mix_key"))
+    sized = cut(plain.withColumn("mix_tokens", token_count()).groupBy("source", "mix_key").agg(F.sum("mix_tokens").alias("mix_tokens")))
+    blocks = max(BLOCKS, math.ceil(sized.count() / BLOCK_ROWS))
+    return _realise(docs, sized.withColumn("mix_block", F.pmod(F.col("mix_key"), F.lit(blocks)).cast("int")), target)
 
 
 def _realise(docs: DataFrame, sized: DataFrame, target: Target) -> DataFrame:
@@ -136,5 +134,9 @@ def _realise(docs: DataFrame, sized: DataFrame, target: Target) -> DataFrame:
         .where(F.col("mix_place") < F.col("epochs") - 1e-9)
         .drop("epochs")
     )
-    keyed = docs.withColumn("mix_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(chosen, (keyed["mix_key"] == chosen["mix_key"]) & F.equal_null(keyed["source"], chosen["mix_source"])).drop("mix_key", "mix_source")
+    key, source, of = free(docs.columns, "mix_key", "mix_source", "mix_of")
+    epoch, weight, place = added([*docs.columns, key, source, of])
+    chosen = chosen.select(F.col("mix_key").alias(of), F.col("mix_source").alias(source), F.col("epoch").alias(epoch), F.col("mix_weight").alias(weight), F.col("mix_place").alias(place))
+    keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"], docs["text"]))
+    joined = keyed.join(chosen, (F.col(key) == F.col(of)) & F.equal_null(keyed["source"].cast("string"), F.col(source)))
+    return joined.select(*docs.columns, epoch, weight, place)

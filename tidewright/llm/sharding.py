@@ -1,8 +1,8 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
 Rows of one id, size and text hash are one record with a number of copies, so
-that any number of them can be placed by counting.  Every record gets a 63-bit
-key: the CRC-32 of its text, then a hash of its id, so that equal texts are
+that any number of them can be placed by counting.  Every record gets a 53-bit
+key (exact as a double, which quantiles are made of): the CRC-32 of its text, then a hash of its id, so that equal texts are
 neighbours and a large group of copies can still be cut.  Keys are drawn as
 often as their size asks for; quantiles of the draws are the boundaries of
 ranges, to which records are dealt by binary search; ranges that turn out
@@ -38,7 +38,7 @@ def sized(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(raw).cast("bigint") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
     records = narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    return records.withColumn("key", F.shiftleft("text_crc32", 31) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
+    return records.withColumn("key", F.shiftleft("text_crc32", 21) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 21)))
 
 
 def drawn(weight: Column, total: int, draws: int, *identity: str) -> Column:

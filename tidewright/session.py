@@ -20,5 +20,9 @@ def share_package(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors see: under the session's checkpoint folder, or (a session without one, as in tests) under a local one."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -9,17 +9,25 @@ places has to be shuffled instead of every window.
      of its q-gram.  If its neighbourhood came earlier, all of its windows
      did.  If the bucket has no other neighbourhood, none of them did.
   2. Only anchors of buckets with several neighbourhoods are left.  They are
-     refined: either their neighbourhoods are gathered once for each bucket,
-     or (where a bucket is large) their windows are dealt out one by one.
+     refined: their neighbourhoods are gathered once for each bucket and handed
+     to the operator.  Where a bucket would be overfull, its q-gram is lengthened
+     to the whole window: windows get identifiers of their own (those of their
+     halves, joined again and again) and are dealt out by them.
   3. Intervals of repeated window starts go back to their documents.
 
-A map task first resolves what repeats inside it, so a very frequent window
-sends one record for each task, whatever its share of the corpus.  Records
-travel in compressed column blobs, one for each task and bucket.
+A q-gram that very many neighbourhoods share is known before step 1, from a
+sixteenth (or less) of the documents; its windows are dealt out at once and its
+anchors never meet.  What is sampled decides on the way of a window, not on its
+result.  A map task first resolves what repeats inside it, so a very frequent
+window sends one record for each task, whatever its share of the corpus.
+Records travel in compressed column blobs, one for each task and bucket.
+
+Neighbourhoods and lengthened q-grams are known by 64-bit hashes.
 
 Defined results: null texts are empty; texts shorter than a window keep
 everything; a null doc_id comes before all others; rows of one doc_id are
-taken for copies of one document.
+taken for copies of one document; a very long text is anchored in parts that
+overlap by a window, and counts its places in 32 bits.
 """
 
 from __future__ import annotations
@@ -33,11 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.store import buckets_for
-from tidewright.llm.textkernel import _power, chunks, flat, mix, owner, prefix_hash, sliding_min, span_hash
+from tidewright.llm.textkernel import _power, chunks, flat, mix, owner, prefix_hash, sliding_min, span_hash, windows
 
-#: Anchors that a task holds before it sends them off; bits of a place in the order of anchors.
+#: Anchors that a task holds before it sends them off; bits of a place in the order of anchors; symbols anchored together.
 HELD = 1 << 20
-_PLACE = np.uint64(28)
+_PLACE, PART = np.uint64(28), 1 << 27
+#: Sampling for frequent q-grams: one document in so many at least, text bytes of the sample at most, sampled neighbourhoods of
+#: a q-gram at least, q-grams at most (8 bytes each, sent to all tasks; those beyond go the ordinary way).
+ONE_IN, SAMPLE_BYTES, SEEN, MOST_HOT = 16, 4 << 30, 50, 100_000
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 _ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
@@ -117,12 +128,14 @@ def anchors(symbols: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarra
         return none
     prefix = prefix_hash(symbols)
     gram = gram_hash(prefix, rule.q)
-    order = (gram >> _PLACE << _PLACE) | np.arange(len(gram), dtype=np.uint64)
-    least = sliding_min(order, rule.reach)
     doc = owner(off)
-    whole = doc[: len(least)] == doc[rule.length - 1 : rule.length - 1 + len(least)]
     chosen = np.zeros(len(gram), bool)
-    chosen[(least[whole] & np.uint64((1 << 28) - 1)).astype(np.int64)] = True
+    for s in range(0, len(gram), PART):
+        part = gram[s : s + PART + rule.reach - 1]
+        order = (part >> _PLACE << _PLACE) | np.arange(len(part), dtype=np.uint64)
+        least = sliding_min(order, rule.reach)
+        whole = doc[s : s + len(least)] == doc[s + rule.length - 1 : s + rule.length - 1 + len(least)]
+        chosen[s + (least[whole] & np.uint64((1 << 28) - 1)).astype(np.int64)] = True
     at = np.flatnonzero(chosen)
     if not len(at):
         return none
@@ -148,7 +161,33 @@ def firsts(rule: Rule, doc: np.ndarray, place: np.ndarray, *keys: np.ndarray) ->
     return order, later
 
 
-def send_anchors(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int) -> DataFrame:
+def frequent_grams(docs: DataFrame, symbols: Symbols, rule: Rule, large: int) -> np.ndarray:
+    """Hashes (ascending) of q-grams that, by a sample of documents, are in more than about `large` neighbourhoods."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    one_in = max(ONE_IN, -(-size // SAMPLE_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            _, _, gram, near = anchors(*symbols(*flat(batch.column(0))), rule)
+            gram, count = np.unique(gram[np.unique(near, return_index=True)[1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count)], ["gram", "count"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(one_in)) == 0).select("text")
+    counted = some.mapInArrow(run, "gram bigint, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
+    often = counted.where(F.col("count") > max(SEEN, large // one_in)).orderBy(F.desc("count"), "gram").limit(MOST_HOT).collect()
+    return np.sort(np.array([r["gram"] for r in often], np.int64).view(np.uint64))
+
+
+def listed(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are in the ascending list."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ascending, values)
+    at[at == len(ascending)] = 0
+    return ascending[at] == values
+
+
+def send_anchors(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int, hot: np.ndarray) -> DataFrame:
     """One row for each task's share of a bucket: anchors to be compared, and anchors known to repeat."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -161,12 +200,8 @@ def send_anchors(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int) ->
         for bucket, some in spread((gram[by_doc] % np.uint64(buckets)).astype(np.int64), buckets):
             some = by_doc[some]
             new, old = some[~known[some]], some[known[some]]
-            high = gram[new] >> np.uint64(32)
-            rows.append((
-                bucket,
-                pack(doc=doc[new], place=place[new].astype(np.uint32), gram=high.astype(np.uint32), near=(near[new] >> np.uint64(32)).astype(np.uint32), more=(near[new] & np.uint64(0xFFFF)).astype(np.uint16)),
-                pack(doc=doc[old], place=place[old].astype(np.uint32)),
-            ))
+            high = (gram[new] >> np.uint64(32)).astype(np.uint32)
+            rows.append((bucket, pack(doc=doc[new], place=place[new].astype(np.uint32), gram=high, near=near[new]), pack(doc=doc[old], place=place[old].astype(np.uint32))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "fresh", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +209,10 @@ def send_anchors(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int) ->
         for batch in chunks(batches):
             ids = ids_of(batch.column(0))
             d, place, gram, near = anchors(*symbols(*flat(batch.column(1))), rule)
-            if len(d):
-                held.append((ids[d], place, gram, near))
-                size += len(d)
+            some = ~listed(gram, hot)
+            if some.any():
+                held.append((ids[d[some]], place[some], gram[some], near[some]))
+                size += int(some.sum())
             if size >= HELD:
                 yield from flush(held)
                 held, size = [], 0
@@ -193,7 +229,7 @@ def compare_anchors(sent: DataFrame, rule: Rule, homes: int, large: int) -> Data
         sure = unpack(table["known"].to_pylist())
         a = unpack(table["fresh"].to_pylist())
         bucket = table["bucket"][0].as_py()
-        near = a["near"].astype(np.uint64) << np.uint64(16) | a["more"]
+        near = a["near"]
         order, later = firsts(rule, a["doc"], a["place"], a["gram"], near)
         gram = a["gram"][order]
         cut = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
@@ -265,10 +301,59 @@ def intervals(ids: np.ndarray, off: np.ndarray, flags: np.ndarray) -> dict[str,
     return {"doc": ids[d], "first": (first - off[d]).astype(np.uint32), "last": (last - off[d]).astype(np.uint32)}
 
 
-def window_records(rule: Rule, prefix: np.ndarray, off: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """Hash, document and start of single windows."""
+def window_records(rule: Rule, symbol: np.ndarray, off: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Identifier (made of the identifiers of shorter runs at later offsets), document and start of single windows."""
     d = np.searchsorted(off, starts, "right") - 1
-    return {"doc": ids[d], "place": (starts - off[d]).astype(np.uint32), "window": span_hash(prefix, starts, starts + rule.length)}
+    return {"doc": ids[d], "place": (starts - off[d]).astype(np.uint32), "window": windows(symbol, rule.length)[starts]}
+
+
+def deal_windows(rule: Rule, parts: list[dict[str, np.ndarray]], buckets: int, homes: int) -> Iterator[tuple[int, str, bytes]]:
+    """Windows for the buckets of their identifiers, as rows (bucket, kind, blob); those that repeat among these are done with."""
+    a = _joined(parts)
+    order, later = firsts(rule, a["doc"], a["place"], a["window"])
+    doc, start = a["doc"][order[later]], a["place"][order[later]].astype(np.int64)
+    for home, some in spread(_home(doc, homes), homes):
+        yield home % buckets, f"done {home}", pack(**start_runs(doc[some], start[some]))
+    at = np.sort(order[~later])
+    a = sorted_by_doc({k: v[at] for k, v in a.items()})
+    for bucket, some in spread((a["window"] % np.uint64(buckets)).astype(np.int64), buckets):
+        yield bucket, "window", pack(**{k: v[some] for k, v in a.items()})
+
+
+def window_range(rule: Rule, off: np.ndarray, d: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows around an anchor at `place` of document d."""
+    n = off[d + 1] - off[d]
+    return off[d] + np.maximum(place - (rule.reach - 1), 0), off[d] + np.minimum(place, n - rule.length)
+
+
+DEALT = "bucket int, kind string, blob binary"
+
+
+def _dealt(rows: list[tuple[int, str, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "blob"])
+
+
+def send_windows(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int, homes: int, hot: np.ndarray) -> DataFrame:
+    """The windows of frequent q-grams, dealt out one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chunks(batches):
+            symbol, off = symbols(*flat(batch.column(1)))
+            d, place, gram, _ = anchors(symbol, off, rule)
+            some = listed(gram, hot)
+            if some.any():
+                first, last = window_range(rule, off, d[some], place[some])
+                starts = np.flatnonzero(union(len(symbol), first, last))
+                held.append(window_records(rule, symbol, off, ids_of(batch.column(0)), starts))
+                size += len(starts)
+            if size >= HELD:
+                yield from _dealt(list(deal_windows(rule, held, buckets, homes))).to_batches()
+                held, size = [], 0
+        if size:
+            yield from _dealt(list(deal_windows(rule, held, buckets, homes))).to_batches()
+
+    return docs.mapInArrow(run, DEALT)
 
 
 def repeated_windows(rule: Rule, a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -294,12 +379,13 @@ Gather = Callable[[Rule, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[st
 Refine = Callable[[Rule, list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols, rule: Rule, buckets: int, homes: int, gather: Gather | None, refine: Refine | None) -> DataFrame:
+def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols, rule: Rule, buckets: int, homes: int, gather: Gather, refine: Refine, more: DataFrame | None = None) -> DataFrame:
     """Intervals of repeated window starts, as rows (home, blob).
 
     Beside their documents, anchors that repeat become intervals; open ones are
-    gathered (by `gather`, or window by window), dealt out again, and what
-    `refine` (or the windows' hashes) finds to repeat becomes intervals, too.
+    gathered (by `gather`, or in overfull buckets window by window), dealt out
+    again with the windows that were dealt before (`more`), and what `refine` (or
+    the windows' identifiers) finds to repeat becomes intervals, too.
     """
 
     def beside(left, right):
@@ -319,7 +405,7 @@ def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols,
                     place = a["place"][at].astype(np.int64)
                     ok = place < n[row]
                     row, at, place = row[ok], at[ok], place[ok]
-                    return at, off[row] + np.maximum(place - (rule.reach - 1), 0), off[row] + np.minimum(place, n[row] - rule.length), off[row] + place
+                    return at, *window_range(rule, off, row, place), off[row] + place
 
                 if full:
                     _, first, last, _ = starts(full)
@@ -331,27 +417,18 @@ def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols,
                     sums = np.concatenate([[0], np.cumsum(known)])
                     open_ = (last >= first) & (sums[np.maximum(last, first) + 1] - sums[first] < last - first + 1)
                     at, first, last, place = at[open_], first[open_], last[open_], place[open_]
-                    single = rest["crowd"][at] if gather is not None else np.ones(len(at), bool)
+                    single = rest["crowd"][at]
                     if single.any():
                         flags = union(len(symbol), first[single], last[single]) & ~known
-                        windows_.append(window_records(rule, prefix_hash(symbol), off, ids, np.flatnonzero(flags)))
+                        windows_.append(window_records(rule, symbol, off, ids, np.flatnonzero(flags)))
                     if not single.all():
                         some = ~single
                         rows.extend(gather(rule, batch, off, ids, place[some], {k: v[at[some]] for k, v in rest.items()}, buckets))
             if done:
                 rows.append((home % buckets, f"done {home}", pack(**_joined(done))))
             if windows_:
-                a = _joined(windows_)
-                # what repeats beside its own kind needs no further look
-                order, later = firsts(rule, a["doc"], a["place"], a["window"])
-                doc, start = a["doc"][order[later]], a["place"][order[later]].astype(np.int64)
-                if len(doc):
-                    rows.append((home % buckets, f"done {home}", pack(**start_runs(doc, start))))
-                at = np.sort(order[~later])
-                a = sorted_by_doc({k: v[at] for k, v in a.items()})
-                for bucket, some in spread((a["window"] % np.uint64(buckets)).astype(np.int64), buckets):
-                    rows.append((bucket, "window", pack(**{k: v[some] for k, v in a.items()})))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "blob"])
+                rows.extend(deal_windows(rule, windows_, buckets, homes))
+        return _dealt(rows)
 
     def resolve(table):
         by: dict[str, list[bytes]] = {}
@@ -371,7 +448,8 @@ def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols,
                 out.append((home, pack(**start_runs(doc[some], start[some]))))
         return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["home", "blob"])
 
-    dealt = home_docs.groupBy("home").cogroup(compared.groupBy("home")).applyInArrow(beside, "bucket int, kind string, blob binary")
+    dealt = home_docs.groupBy("home").cogroup(compared.groupBy("home")).applyInArrow(beside, DEALT)
+    dealt = dealt if more is None else dealt.unionByName(more)
     return dealt.groupBy("bucket").applyInArrow(resolve, "home int, blob binary")
 
 
@@ -407,6 +485,17 @@ def covered(rule: Rule, off: np.ndarray, ids: np.ndarray, a: dict[str, np.ndarra
     return union(int(off[-1]), off[row][ok] + first[ok], off[row][ok] + last[ok] + rule.length - 1)
 
 
+def repeated_starts(docs: DataFrame, symbols: Symbols, rule: Rule, large: int, gather: Gather, refine: Refine) -> tuple[DataFrame, DataFrame]:
+    """Documents by home, and intervals of the starts of windows that came earlier, as rows (home, blob)."""
+    buckets, homes = sizes(docs)
+    home_docs = housed(docs, homes)
+    texts = home_docs.select("doc_id", "text")
+    hot = frequent_grams(texts, symbols, rule, large)
+    compared = compare_anchors(send_anchors(texts, symbols, rule, buckets, hot), rule, homes, large)
+    more = send_windows(texts, symbols, rule, buckets, homes, hot) if len(hot) else None
+    return home_docs, refine_anchors(home_docs, compared, symbols, rule, buckets, homes, gather, refine, more)
+
+
 def sizes(docs: DataFrame) -> tuple[int, int]:
     """Buckets and homes for the size of the texts, the latter a prime, for ids that come in steps."""
     n = buckets_for(docs)

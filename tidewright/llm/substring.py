@@ -1,12 +1,15 @@
 """Substring dedup over bytes by bucket-pointer refinement.
 
-Suffixes are taken at anchors (see repeats).  Their initial buckets are those
-of equal q-grams; a bucket whose neighbourhoods are all equal, or all of one
-document, is settled at once.  In the other buckets the suffixes of all windows
-are refined: sorted by the bucket identifiers of ever later offsets (eight
-bytes each), singletons leaving after every step, the identifiers found so far
-being reused as the leading key of the next one, until the depth of a window
-is reached.  What then still shares a bucket is equal, byte for byte.
+Suffixes are taken around anchors (see repeats).  Those of one q-gram form a
+bucket; a bucket whose neighbourhoods are all equal, or all of one document, is
+settled at once, the others are refined in one task each.  There every suffix has
+a pointer to its bucket (the place where the bucket begins in sorted order), at
+first that of its eight bytes.  A bucket is refined by sorting its suffixes on
+the pointers at the offset down to which they are equal: what shares a bucket
+and points to one bucket there is equal twice as far.  New buckets' pointers
+replace the old ones, so every refinement reuses those before it, and a suffix
+alone leaves for good.  Three refinements (8, 16, 18 bytes on) reach the depth
+of a window; what then still shares a bucket is equal, byte for byte.
 
 Defined results: as in repeats; an empty table gives no rows; extra columns
 are not read.
@@ -21,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewright.llm.repeats import Rule, apply_intervals, compare_anchors, covered, housed, pack, refine_anchors, send_anchors, sizes, spread, unpack
+from tidewright.llm.repeats import Rule, apply_intervals, covered, pack, repeated_starts, spread, unpack
 from tidewright.llm.textkernel import byte_symbols, flat
 
 RULE = Rule(length=50, q=18, within=False)
-#: Open neighbourhoods of one q-gram beyond which its windows are dealt out one by one; neighbourhoods refined together.
-LARGE, TOGETHER = 50_000, 40_000
-#: Bytes of one bucket identifier.
+#: Open neighbourhoods of one q-gram beyond which it is lengthened to the whole window; neighbourhoods refined together.
+LARGE, TOGETHER = 20_000, 20_000
+#: Bytes of an initial bucket.
 _STEP = 8
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -73,31 +76,61 @@ def refine(rule: Rule, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+class BucketPointers:
+    """Pointers of all suffixes (row by row) to their buckets; suffixes that could reach out of their row take no part.
+
+    text: one neighbourhood a row; low, high: the bytes of each row that are there.
+    """
+
+    def __init__(self, text: np.ndarray, low: np.ndarray, high: np.ndarray):
+        n, self.width = text.shape
+        self.low, self.high, self.depth = low, high, _STEP
+        place = np.arange(self.width)
+        suffix = np.flatnonzero((place >= low[:, None]) & (place + _STEP <= high[:, None]))
+        value = np.lib.stride_tricks.sliding_window_view(text, _STEP, axis=1)
+        value = np.ascontiguousarray(value[suffix // self.width, suffix % self.width]).view(np.uint64).ravel()
+        order = np.argsort(value)
+        self.pointer = np.full(n * self.width, -1, np.int64)
+        self.active, _ = self._point(suffix[order], np.zeros(len(order), np.int64), value[order])
+
+    def _point(self, suffix: np.ndarray, bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New pointers for sorted suffixes; which of them share their bucket, and the pointers of these."""
+        if not len(suffix):
+            return suffix, bucket
+        fresh = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        old = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        fresh[1:] |= key[1:] != key[:-1]
+        first = np.flatnonzero(fresh)
+        begin = first[np.cumsum(fresh) - 1]
+        self.pointer[suffix] = bucket + begin - old  # where the new bucket begins inside the old one
+        shared = np.repeat(np.diff(np.append(first, len(suffix))) > 1, np.diff(np.append(first, len(suffix))))
+        return suffix[shared], self.pointer[suffix[shared]]
+
+    def refine(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Refine all buckets from their present depth to `depth`, at most twice as deep; suffixes that share buckets, and their pointers, in order."""
+        row, place = np.divmod(self.active, self.width)
+        suffix = self.active[place + depth <= self.high[row]]
+        bucket, later = self.pointer[suffix], self.pointer[suffix + (depth - self.depth)]
+        order = np.lexsort((later, bucket))
+        self.depth = depth
+        self.active, pointer = self._point(suffix[order], bucket[order], later[order])
+        return self.active, pointer
+
+
 def _refine(rule: Rule, a: dict[str, np.ndarray], text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    reach, length = rule.reach, rule.length
-    pointer = np.lib.stride_tricks.sliding_window_view(text, _STEP, axis=1)
-    # all windows of all neighbourhoods; the initial bucket is the q-gram's
-    row, shift = np.nonzero((np.arange(reach) >= reach - 1 - a["left"].astype(int)[:, None]) & (np.arange(reach) + length <= reach - 1 + a["right"].astype(int)[:, None]))
-    bucket = a["gram"][row].astype(np.int64) * reach + shift
-    doc = a["doc"]
-    offsets = [*range(0, length - _STEP, _STEP), length - _STEP]
-    for offset in offsets:
-        if not len(row):
-            break
-        identifier = np.ascontiguousarray(pointer[row, shift + offset]).view(np.uint64).ravel()
-        order = np.lexsort((identifier, bucket))
-        row, shift, bucket, identifier = row[order], shift[order], bucket[order], identifier[order]
-        cut = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (identifier[1:] != identifier[:-1])])
-        bucket = np.cumsum(cut) - 1
-        stay = np.bincount(bucket)[bucket] > 1
-        row, shift, bucket = row[stay], shift[stay], bucket[stay]
+    middle = rule.reach - 1
+    buckets = BucketPointers(text, middle - a["left"].astype(np.int64), middle + a["right"].astype(np.int64))
+    for depth in (2 * _STEP, 4 * _STEP, rule.length):
+        suffix, pointer = buckets.refine(depth)
+    row, start = np.divmod(suffix, buckets.width)
+    some = start <= middle
+    row, start, pointer = row[some], start[some], pointer[some]
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    least = np.minimum.reduceat(doc[row], first)
-    later = doc[row] > np.repeat(least, np.diff(np.append(first, len(row))))
-    row, shift = row[later], shift[later]
-    return doc[row], a["place"][row].astype(np.int64) - (reach - 1) + shift
+    doc = a["doc"][row]
+    first = np.flatnonzero(np.concatenate([[True], pointer[1:] != pointer[:-1]]))
+    later = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(row))))
+    return doc[later], a["place"][row[later]].astype(np.int64) - middle + start[later]
 
 
 def remove(text: pa.RecordBatch, ids: np.ndarray, found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,16 +155,7 @@ def _finish(batch: pa.RecordBatch, ids: np.ndarray, found: dict[str, np.ndarray]
     )
 
 
-def find(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """Documents by home, and the intervals of starts of repeated windows."""
-    buckets, homes = sizes(docs)
-    home_docs = housed(docs, homes)
-    sent = send_anchors(home_docs.select("doc_id", "text"), symbols, RULE, buckets)
-    compared = compare_anchors(sent, RULE, homes, large)
-    return home_docs, refine_anchors(home_docs, compared, symbols, RULE, buckets, homes, gather, refine)
-
-
 def dedup_substrings(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """Digest of every text without the bytes of 50-byte strings that start in an earlier document."""
-    home_docs, found = find(docs, large)
+    home_docs, found = repeated_starts(docs, symbols, RULE, large, gather, refine)
     return apply_intervals(home_docs, found, _finish, SCHEMA)

@@ -65,7 +65,8 @@ def splitters(records: DataFrame, total: int, ranges: int) -> list[int]:
 
 def ranged(records: DataFrame, total: int, ranges: int) -> DataFrame:
     """Adds `range` and `piece`: the range by splitters, and an overfull range's subdivision along its keys."""
-    of = records.withColumn("range", rank_in(F.col("key"), splitters(records, total, ranges)).cast("int"))
+    place = rank_in(F.col("key"), splitters(records, total, ranges)).cast("int")
+    of = records.select("*", F.explode(F.array(place)).alias("range"))  # a generated column: the optimizer infers nothing about it in the joins below
     cap = max(1, math.ceil(total / ranges))
     spans = of.groupBy("range").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.min("key").alias("least"), F.max("key").alias("most"))
     spans = spans.select("range", "least", "most", F.when(F.col("bytes") > 2 * cap, F.ceil(F.col("bytes") / cap)).otherwise(1).alias("pieces"))

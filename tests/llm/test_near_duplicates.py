@@ -92,3 +92,43 @@ def test_linked_sets_meet_whatever_the_cut(monkeypatch):
                 token, off = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, size, size + len(b)])
                 who, key = jaccard.set_parts(cp.NEAR, token, off)
                 assert np.intersect1d(key[who == 0], key[who == 1]).size
+
+
+def test_frequent_elements_are_left_out_where_enough_parts_are_left():
+    """Linked sets meet also if half of their elements, or all, are frequent."""
+    r = np.random.default_rng(7)
+    frequent = np.sort(r.integers(0, 1 << 63, 300).astype(np.uint64))
+    for size, many in [(60, 0), (60, 10), (60, 30), (60, 60), (300, 150), (300, 300), (8, 8), (100, 70)]:
+        for _ in range(10):
+            own = r.integers(0, 1 << 63, size - many).astype(np.uint64)
+            a = np.concatenate([own, r.choice(frequent, many, replace=False)])
+            r.shuffle(a)
+            b = a[size // 6 :]
+            token, off = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, size, size + len(b)])
+            who, key = jaccard.set_parts(cp.NEAR, token, off, frequent)
+            assert np.intersect1d(key[who == 0], key[who == 1]).size
+
+
+def test_sketches_never_tell_more_than_the_sets_differ():
+    r = np.random.default_rng(8)
+    for size in (1, 5, 31, 33, 64, 200, 1000):
+        for gone in (0, size // 10, size // 2):
+            a = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))
+            b = np.concatenate([a[gone:], r.integers(0, 1 << 63, size // 20).astype(np.uint64)])
+            words, off = jaccard.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            x, y = words[: off[1]].tobytes(), words[off[1] :].tobytes()
+            apart = len(np.setxor1d(a, b))
+            assert jaccard.sketch_distance(x, y) <= apart and jaccard.sketch_distance(y, x) <= apart
+            if size >= 200 and gone == size // 2:
+                assert jaccard.sketch_distance(x, y) > 0.5 * apart
+
+
+def test_short_and_long_lists(spark, monkeypatch):
+    """Pairs of short lists go by their sketches, long lists as before; frequent elements by any threshold."""
+    rows = near_rows()
+    kept, _ = brute_kept(rows)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for short, one_of in ((2, 1000), (24, 50), (0, 10**6)):
+        monkeypatch.setattr(jaccard, "SHORT", short)
+        monkeypatch.setattr(jaccard, "ONE_OF", one_of)
+        assert sorted(r.doc_id for r in jaccard.keep_one(docs, cp.NEAR).collect()) == sorted(kept)

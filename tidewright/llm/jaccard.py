@@ -7,6 +7,10 @@ elements says nothing and has no list; a set with so many of them that they coul
 be all that it has in common with another is cut anew, by another hash.  Lists
 are keyed by size class, part position and part content, so lists of other
 positions and of classes out of reach are skipped; copies of one set enter once.
+Parts of nothing but frequent elements (passages that many documents share, found
+in a sample) are taken for empty, too, as long as enough parts are left without
+them.  Sets that meet in a short list are compared by their parity sketches: these
+differ in no more bits than the sets in elements, so no linked pair is lost.
 
 Sets that meet in some list form a family, and a family is answered from its
 pivot, the member most like the others:
@@ -51,8 +55,11 @@ from tidewright.llm.repeats import NO_ID, housed, ids_of, matched, pack, sizes,
 from tidewright.llm.store import cut, free
 from tidewright.llm.textkernel import byte_symbols, chunks, flat, mix, owner, prefix_hash, span_hash, windows, word_bounds
 
-#: Elements that a task holds before it sends their parts off.
-HELD = 1 << 20
+#: Elements that a task holds before it sends their parts off; sets of a list that are compared pair by pair at most.
+HELD, SHORT = 1 << 20, 24
+#: Sampling for frequent elements: documents of the sample, documents of which a frequent element is in one at least, elements
+#: at most (8 bytes each, sent to all tasks; a share of all documents bounds their number), cuts that leave them out.
+SAMPLE, ONE_OF, MOST_FREQUENT, PATIENT = 16_384, 1000, 500_000, 2
 #: Members of a slice of a family; members that choose its pivot; members, and pairs of classes or members, looked at together.
 SLICE, VOTERS, TOGETHER, PAIRS = 1024, 32, 4096, 1 << 20
 #: Hashes by which sets are cut one after another; what the last one leaves open is listed by its empty parts, too.
@@ -128,33 +135,88 @@ def set_hash(token: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(sums[off[1:]] - sums[off[:-1]] + np.diff(off).astype(np.uint64))
 
 
-def set_parts(join: Join, token: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def frequent_elements(docs: DataFrame, join: Join) -> np.ndarray:
+    """Elements (ascending) that, by a sample of documents, are in one of ONE_OF documents or more."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(78)), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chunks(batches):
+            held.append(shingle_sets(batch.column(0), join.n)[0])
+            size += len(held[-1])
+            if size >= 2 * HELD:
+                yield _counted(held)
+                held, size = [], 0
+        if size:
+            yield _counted(held)
+
+    counted = some.mapInArrow(run, "element bigint, count bigint").groupBy("element").agg(F.sum("count").alias("count"))
+    often = counted.where(F.col("count") >= max(4, min(n, SAMPLE) // ONE_OF)).orderBy(F.desc("count"), "element").limit(MOST_FREQUENT)
+    return np.sort(np.array([r["element"] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Elements that come twice or more; those that come once here are not frequent here."""
+    element, count = np.unique(np.concatenate(held), return_counts=True)
+    some = count > 1
+    return pa.RecordBatch.from_arrays([pa.array(element[some].view(np.int64)), pa.array(count[some])], ["element", "count"])
+
+
+def sketches(token: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of all sets as 64-bit words, and their offsets: each element turns one of (about twice as many) bits."""
+    size = np.diff(off)
+    words = 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64), 0, 12)
+    begin = np.concatenate([[0], np.cumsum(words)])
+    who = np.repeat(np.arange(len(size)), size)
+    place = (mix(token + np.uint64(0x51ED)) >> np.uint64(20)) & (64 * words[who] - 1).astype(np.uint64)
+    out = np.zeros(begin[-1], np.uint64)
+    np.bitwise_xor.at(out, begin[who] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out, begin
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), len(a)
+    while n > len(b):
+        n //= 2
+        x = x >> 8 * n ^ x & (1 << 8 * n) - 1
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def set_parts(join: Join, token: np.ndarray, off: np.ndarray, frequent: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
     """Set index and key of every part of every set, in the lists of its own class and of the class below."""
     size = np.diff(off)
     bounds = join.classes(int(size.max(initial=1)))
     most, many = join.parts(bounds)
     own = np.searchsorted(bounds, size, "right") - 1
+    rare = ~_in(token, frequent)
     who, keys = [], []
     for level in (own, own - 1):
         left = np.flatnonzero((size > 0) & (level >= 0))
         for turn, seed in enumerate(CUTS):
             parts, length = many[level[left]], size[left]
             base = np.concatenate([[0], np.cumsum(parts)])
-            of = np.repeat(np.arange(len(left)), length)
-            scattered = mix(token[np.repeat(off[left] - (np.cumsum(length) - length), length) + np.arange(len(of))] ^ seed)
+            of, place = _expanded(off[left], length)
+            scattered = mix(token[place] ^ seed)
+            part = base[of] + ((scattered >> np.uint64(33)) % parts[of].astype(np.uint64)).astype(np.int64)
             sums = np.zeros(base[-1], np.uint64)
-            np.add.at(sums, base[of] + ((scattered >> np.uint64(33)) % parts[of].astype(np.uint64)).astype(np.int64), scattered)
+            np.add.at(sums, part, scattered)
             set_of = np.repeat(np.arange(len(left)), parts)
             position = np.arange(base[-1]) - base[set_of]
             listed = sums != 0
-            # linked sets have parts - unlike equal parts; with fewer empty ones some equal part has a list
+            if turn < PATIENT and len(frequent):
+                listed = np.bincount(part[rare[place]], minlength=base[-1]) > 0
+            # linked sets have parts - unlike equal parts; with fewer that have no list some equal part has one
             unlike = np.minimum(join.unlike(length), most[level[left]])
             few = np.bincount(set_of[~listed], minlength=len(left)) >= parts - unlike
             if turn == len(CUTS) - 1:
                 listed |= few[set_of]
-            place = (np.uint64(turn) << np.uint64(48)) + (level[left][set_of].astype(np.uint64) << np.uint64(32)) + position.astype(np.uint64) + np.uint64(1)
+            where = (np.uint64(turn) << np.uint64(48)) + (level[left][set_of].astype(np.uint64) << np.uint64(32)) + position.astype(np.uint64) + np.uint64(1)
             who.append(left[set_of[listed]])
-            keys.append(mix(sums + mix(place))[listed])
+            keys.append(mix(sums + mix(where))[listed])
             left = left[few]
             if not len(left):
                 break
@@ -175,9 +237,11 @@ def _lists(key: np.ndarray, doc: np.ndarray, same: np.ndarray) -> tuple[np.ndarr
 
 
 def candidates(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
-    """Edges (a, b, same): copies of one set (same), and sets that meet in some list."""
+    """Edges (a, b, same, ask): copies of one set (same), sets that meet in some list, or (ask) may be found apart by their
+    sketches; and with a `sketch`, the size (b) and sketch of a set (a)."""
+    frequent = frequent_elements(docs, join)
 
-    def flush(held: list) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    def flush(held: list) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
         doc, identity, token, off = held[0]
         if len(held) > 1:
             doc, identity, token = (np.concatenate([h[i] for h in held]) for i in range(3))
@@ -193,20 +257,16 @@ def candidates(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
         token = token[np.repeat(off[keep] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         off = np.concatenate([[0], np.cumsum(size)])
         doc, identity = doc[keep], identity[keep]
-        who, key = set_parts(join, token, off)
-        order, leader, _ = _lists(key, doc[who], identity[who])
-        member = doc[who[order]]
-        meet = forest(member[member != leader], leader[member != leader])
-        # one row for each list goes on: its leader
-        lead = order[member == leader]
-        lead = lead[np.argsort(who[lead], kind="stable")]
+        who, key = set_parts(join, token, off, frequent)
+        lead = np.argsort(who, kind="stable")
+        drawn, begin = sketches(token, off)
         by_bucket = dict(spread((key[lead] % np.uint64(buckets)).astype(np.int64), buckets))
         by_set = dict(spread((identity % np.uint64(buckets)).astype(np.int64), buckets))
-        edges = pack(a=np.concatenate([alike[0], meet[0]]), b=np.concatenate([alike[1], meet[1]]), same=np.arange(len(alike[0]) + len(meet[0])) < len(alike[0]))
+        edges = pack(a=alike[0], b=alike[1])
         for bucket in sorted({*by_bucket, *by_set}):
             at = lead[by_bucket.get(bucket, np.zeros(0, np.int64))]
             ids = by_set.get(bucket, np.zeros(0, np.int64))
-            yield bucket, pack(doc=doc[who[at]], key=key[at], set=identity[who[at]]), pack(doc=doc[ids], identity=identity[ids]), edges
+            yield bucket, pack(doc=doc[who[at]], key=key[at], set=identity[who[at]]), pack(doc=doc[ids], identity=identity[ids], size=size[ids], words=np.diff(begin)[ids]), pack(word=drawn[_expanded(begin[ids], np.diff(begin)[ids])[1]]), edges
             edges = b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,34 +285,65 @@ def candidates(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
             yield _rows(flush(held))
 
     def compare(table):
-        out = []
+        pairs, copies = [], []
         for blob in table["edges"].to_pylist():
             if blob:
                 e = unpack([blob])
-                out.append((e["a"], e["b"], e["same"]))
+                copies.append((e["a"], e["b"]))
         a = unpack(table["lists"].to_pylist())
         order, leader, new_set = _lists(a["key"], a["doc"], a["set"])
-        member = a["doc"][order]
-        some = new_set & (member != leader)
-        node, root = forest(member[some], leader[some])
-        out.append((node, root, np.zeros(len(node), bool)))
+        order, leader = order[new_set], leader[new_set]  # each set of a list once
+        member, key = a["doc"][order], a["key"][order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        length = np.diff(np.append(first, len(key)))
+        long_ = np.repeat(length > SHORT, length) & (member != leader)
+        node, root = forest(member[long_], leader[long_])
+        of, place = _expanded(first, np.where(length <= SHORT, length, 0))
+        probe, other = _expanded(first[of], place - first[of])  # in a short list, every set with those before it
+        x, y = np.maximum(member[place[probe]], member[other]), np.minimum(member[place[probe]], member[other])
+        x, y = np.unique(np.stack([x, y]), axis=1) if len(x) else (x, y)
         s = unpack(table["sets"].to_pylist())
+        begin = np.cumsum(s["words"]) - s["words"]
         order = np.lexsort((s["doc"], s["identity"]))
         doc, identity = s["doc"][order], s["identity"][order]
         fresh = np.concatenate([[True], identity[1:] != identity[:-1]]) if len(doc) else np.zeros(0, bool)
         rep = doc[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(doc) else doc
-        out.append((doc[~fresh], rep[~fresh], np.ones(int((~fresh).sum()), bool)))
-        a_, b_, same = (np.concatenate(x) for x in zip(*out))
-        keep = a_ != b_
-        return pa.table({"a": a_[keep], "b": b_[keep], "same": same[keep]})
+        copies.append((doc[~fresh], rep[~fresh]))
+        word, least = unpack(table["sketches"].to_pylist())["word"] if len(doc) else np.zeros(0, np.uint64), order[fresh]
+        drawn = [word[i : i + n].tobytes() for i, n in zip(begin[least], s["words"][least])]
+        same = [np.concatenate(c) for c in zip(*copies)]
+        parts = [(*same, True, False), (node, root, False, False), (x, y, False, True)]
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(2)] + [np.concatenate([np.full(len(p[0]), p[i]) for p in parts]) for i in (2, 3)]
+        columns = [c[columns[0] != columns[1]] for c in columns]
+        n, more = len(columns[0]), [doc[fresh], s["size"][least], np.zeros(len(drawn), bool), np.zeros(len(drawn), bool)]
+        return pa.table([*(pa.array(np.concatenate(c)) for c in zip(columns, more)), pa.array([None] * n + drawn, pa.binary())], [c.split()[0] for c in EDGES.split(", ")])
+
+    sent = docs.mapInArrow(run, "bucket int, lists binary, sets binary, sketches binary, edges binary")
+    return sent.groupBy("bucket").applyInArrow(compare, EDGES)
+
 
-    sent = docs.mapInArrow(run, "bucket int, lists binary, sets binary, edges binary")
-    return sent.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint, same boolean")
+EDGES = "a bigint, b bigint, same boolean, ask boolean, sketch binary"
 
 
 def _rows(rows: Iterator[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "lists", "sets", "edges"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4))], ["bucket", "lists", "sets", "sketches", "edges"])
+
+
+def near_by_sketch(found: DataFrame, join: Join) -> DataFrame:
+    """Those of the asked pairs (a, b) whose sketches do not show that they are too far apart."""
+    drawn = found.where("sketch is not null")
+    a, b = (drawn.select(F.col("a").alias(x), F.col("b").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    asked = found.where("sketch is null and ask").select("a", "b").distinct()
+    beside = looked_up(looked_up(asked, "a", a, "b"), "b", b, "a").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = join.apart(batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            near = [sketch_distance(x, y) <= f for x, y, f in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), far)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return beside.mapInArrow(run, "a bigint, b bigint")
 
 
 def _in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
@@ -568,7 +659,9 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
 def links_of(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Edges among sets that meet (and copies), and the links inside families."""
     buckets, homes = sizes(docs)
-    edges = cut(candidates(docs, join, buckets))
+    found = cut(candidates(docs, join, buckets))
+    known = found.where("sketch is null and not ask").select("a", "b", "same")
+    edges = cut(known.unionByName(near_by_sketch(found, join).withColumn("same", F.lit(False))))
     # copies of a set hold families together, but only the first of them is compared
     families = cut(components(edges.select("a", "b")).join(edges.where("same").select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
     counted = looked_up(families, "label", families.groupBy("label").count().where("count > 1"), "node")

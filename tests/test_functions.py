@@ -54,3 +54,59 @@ def test_add_business_days(spark):
     df = spark.createDataFrame([(dt.date(2024, 3, 1),), (dt.date(2024, 3, 2),)], "d date")
     got = {r.d: r.x for r in dm.add_business_days(df, days, "d", 2, "x").collect()}
     assert got == {dt.date(2024, 3, 1): dt.date(2024, 3, 6), dt.date(2024, 3, 2): dt.date(2024, 3, 6)}
+
+
+def test_edges_of_texts_and_numbers(spark):
+    from tidewright.functions import builtin, runtime
+
+    df = spark.createDataFrame([(1, "\t\n", "abc\n", 0.29), (2, " \tyes\r\n", "abc", -1.999), (3, None, None, None), (4, "\t42\n", "xabc", 1e30)], "i int, s string, m string, v double")
+    got = {r.i: r for r in df.select("i", runtime.is_blank(F.col("s")).alias("blank"), runtime.to_boolean(F.col("s")).alias("yes"), runtime.to_long(F.col("s")).alias("long"), runtime.matches(F.col("m"), "abc|x").alias("whole"), builtin.truncate(F.col("v"), 2).alias("cut")).collect()}
+    assert [got[i].blank for i in (1, 2, 3, 4)] == [True, False, True, False]
+    assert [got[i].yes for i in (1, 2, 3, 4)] == [False, True, False, False] and got[4].long == 42
+    assert [got[i].whole for i in (1, 2, 3, 4)] == [False, True, False, False]
+    assert [got[i].cut for i in (1, 2, 3)] == [0.29, -1.99, None] and got[4].cut > 9e29
+
+
+#: Documented names of the groups that have other names in this library.
+NAMES = {
+    "scalars": "current_year current_month add_years add_hours add_minutes format_date format_timestamp is_before is_after end_of_day parse_decimal parse_boolean is_string is_date min_of max_of map sort sort_desc distinct if case_when switch uuid_from_string uuid_to_string",
+    "records": "field_get field_get_or field_exists field_type field_set field_remove field_rename field_move record_create record_merge_deep record_flatten record_unflatten record_keys record_keys_deep record_values record_entries record_size record_is_empty deep_set deep_remove deep_merge deep_copy query query_first query_paths project reshape validate_schema is_valid coerce_to_schema schema_fields schema_field_type schema_required_fields to_json_pretty",
+    "lists": "array_get_or array_remove_all array_set array_take_last array_drop_last array_index_of array_last_index_of array_find array_find_index array_any array_all array_none array_sort_desc array_sort_by_desc array_distinct_by array_symmetric_diff map_put_all map_remove_all map_is_empty map_map_values map_map_keys",
+    "domain": "is_visa is_mastercard is_amex is_discover is_diners is_jcb is_unionpay apply_payment_allocation recommended_utilization_target burst_detection_score calculate_distance_miles travel_velocity_kmh is_high_risk_country country_risk_score is_high_risk_mcc mcc_risk_score mcc_category is_gambling_mcc is_cash_equivalent_mcc is_high_chargeback_mcc is_dormant_account combine_risk_factors is_valid_currency_code currency_decimal_places is_zero_decimal_currency calculate_regulation_e_liability is_within_dispute_window",
+    "windows": "variance_pop first_value_by last_value_by sum_if avg_if min_if max_if collect_list_limit running_sum running_count running_avg running_min running_max",
+}
+
+
+@pytest.mark.parametrize("group", NAMES)
+def test_documented_names_resolve(group):
+    from tidewright.functions import names
+
+    for name in NAMES[group].split():
+        assert callable(names.function(name)), name
+
+
+def test_functions_by_documented_names(spark):
+    from pyspark.sql.types import StructType
+
+    from tidewright.functions import names
+
+    f = names.function
+    df = spark.sql("SELECT array(3, 1, 2, 3) AS a, map('x', 1, 'y', 2) AS m, map('y', 5) AS o, named_struct('p', 1, 'q', named_struct('r', 'z')) AS rec, '4111111111111111' AS pan, timestamp '2024-02-29 10:00:00' AS t, '{\"k\": [7, 8]}' AS j, named_struct('n', '12', 'w', 'x1', 'u', CAST(NULL AS STRING)) AS raw")
+    a, m, rec, kind = F.col("a"), F.col("m"), F.col("rec"), df.schema["rec"].dataType
+    schema = StructType.fromDDL("n int, w int, u string NOT NULL")
+    got = df.select(
+        f("array_take_last")(a, 2).alias("last2"), f("array_drop_last")(a, 3).alias("drop3"), f("array_last_index_of")(a, 3).alias("at3"), f("array_find_index")(a, lambda x: x < 3).alias("under3"), f("array_distinct_by")(a, lambda x: x % 2).alias("odd_even"),
+        f("array_remove_all")(a, [3]).alias("no3"), f("array_get_or")(a, 9, -1).alias("none"), f("map_put_all")(m, F.col("o")).alias("both"), f("map_remove_all")(m, ["x"]).alias("no_x"), f("map_map_values")(m, lambda k, v: v + 1).alias("more"),
+        f("field_move")(rec, "p", "s").alias("moved"), f("record_values")(rec, kind).alias("values"), f("query_first")(F.col("j"), "$.k").alias("first"), f("reshape")(rec, {"deep": {"z": "q.r"}, "p": "p"}).alias("shaped"),
+        f("validate_schema")(F.col("raw"), schema).alias("wrong"), f("is_visa")(F.col("pan")).alias("visa"), f("is_amex")(F.col("pan")).alias("amex"), f("end_of_day")(F.col("t")).alias("end"), f("add_years")(F.col("t"), 1).alias("year"), f("add_hours")(F.col("t"), 20).alias("later"),
+        f("switch")(a[0], {1: "one", 3: "three"}, otherwise="many").alias("named"), f("if")(a[0] > 2, "large", "small").alias("size"), f("uuid_from_string")(F.lit("not one")).alias("uuid"), f("is_gambling_mcc")(F.lit("7995")).alias("bets"),
+    ).first()
+    assert (got.last2, got.drop3, got.at3, got.under3, got.odd_even, got.no3, got.none) == ([2, 3], [3], 3, 1, [3, 2], [1, 2], -1)
+    assert got.both == {"x": 1, "y": 5} and got.no_x == {"y": 2} and got.more == {"x": 2, "y": 3}
+    assert got.moved.s == 1 and "p" not in got.moved and got["values"] == ["1", "{z}"] and got.first == "7" and got.shaped.deep.z == "z"
+    assert got.wrong == ["w: not int", "u: missing"] and got.visa and not got.amex and got.bets and got.uuid is None
+    assert got.end == dt.datetime(2024, 2, 29, 23, 59, 59, 999999) and got.year == dt.date(2025, 2, 28) and got.later == dt.datetime(2024, 3, 1, 6)
+    assert got.named == "three" and got.size == "large"
+    assert names.function("query_paths")(kind, "q.*") == ["q.r"] and names.function("schema_required_fields")(schema) == ["u"] and names.function("field_type")(kind, "q.r") == "string"
+    running = spark.sql("SELECT * FROM VALUES (1, 1), (1, 2), (2, 5) AS t(k, v)")
+    assert sorted(r[0] for r in running.select(f("running_sum")(F.col("v"), ["k"], ["v"])).collect()) == [1, 3, 5]

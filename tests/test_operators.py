@@ -118,6 +118,53 @@ def test_as_of_ties_and_missing(spark):
     assert got == {1: None, 2: 11, 3: 11, 4: 12, 5: None}
 
 
+def test_null_keys_have_no_history(spark):
+    h = spark.createDataFrame([(None, None, at(1), 10), (1, None, at(1), 11), (1, 2, at(1), 12)], "k int, m int, eff timestamp_ntz, v int")
+    q = spark.createDataFrame([(None, None, at(2), 1), (1, None, at(2), 2), (1, 2, at(2), 3)], "k int, m int, ts timestamp_ntz, i int")
+    assert {r.i: r.v for r in joins.lookup_as_of(q, h, ["k", "m"], "ts", "eff", ["v"]).collect()} == {1: None, 2: None, 3: 12}
+
+
+def test_null_keys_await_nothing(spark):
+    first, second = events(spark, [(None, 0, 1), (None, 1, 2), (1, 0, 3)]), events(spark, [(None, 2, 10), (1, 1, 11)])
+    got = sorted(((r.user_id, r.first_id, r.second_id, r.outcome) for r in correlate.await_match(first, second, ["user_id"], "ts", "event_id", "4 hours").collect()), key=repr)
+    assert got == sorted([(None, 1, None, "timeout"), (None, 2, None, "timeout"), (None, None, 10, "unmatched"), (1, 3, 11, "matched")], key=repr)
+
+
+def test_actions_of_timeouts(spark):
+    first, second = events(spark, [(1, 0, 1), (2, 0, 2)]), events(spark, [(1, 1, 10)])
+    outcomes = correlate.await_match(first, second, ["user_id"], "ts", "event_id", "4 hours")
+    for action, on, aside in (("emit", ["matched", "timeout"], []), ("dead_letter", ["matched"], [("timeout", "late")]), ("skip", ["matched"], [])):
+        goes_on, goes_aside = correlate.on_timeout(outcomes, action, "late")
+        assert sorted(r.outcome for r in goes_on.collect()) == on and [(r.outcome, r.reason) for r in goes_aside.collect()] == aside
+    with pytest.raises(ValueError):
+        correlate.on_timeout(outcomes, "nothing")
+
+
+def test_late_rows_over_spans(spark):
+    """Without keys, and with a key that has most of the rows: as one ordered pass would judge."""
+    import random
+
+    r = random.Random(3)
+    data = [(i, at(i / 10 - (r.randint(0, 40) if r.random() < 0.3 else 0)), r.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    df = spark.createDataFrame(data, "i int, ts timestamp_ntz, k string").repartition(3)
+    for keys in ((), ("k",)):
+        late, seen = set(), {}
+        for i, ts, k in data:
+            key = k if keys else 0
+            if key in seen and ts < seen[key] - dt.timedelta(hours=5):
+                late.add(i)
+            seen[key] = max(seen.get(key, ts), ts)
+        on_time, aside = windows.late_split(df, "ts", "i", "5 hours", keys, spans=7)
+        assert {x.i for x in aside.collect()} == late and {x.i for x in on_time.collect()} == {x[0] for x in data} - late
+        assert on_time.columns == df.columns
+
+
+def test_first_values(spark):
+    df = spark.createDataFrame([("a", 3, 1), ("a", 1, 2), ("a", None, 0), ("a", 2, 3), ("b", 5, 1), ("c", None, 1)], "k string, v int, o int")
+    assert {r.k: r["values"] for r in windows.first_values(df, ["k"], F.col("v"), [F.col("o")], 2).collect()} == {"a": [3, 1], "b": [5]}
+    assert {r.k: r.top for r in windows.top_values(df, ["k"], F.col("v"), 2).collect()} == {"a": [3, 2], "b": [5]}
+
+
 def test_merge_into(spark):
     target = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "k int, v int")
     source = spark.createDataFrame([(2, None, False), (3, 9, True), (4, 4, False), (5, 5, True)], "k int, v int, gone boolean")

@@ -86,10 +86,36 @@ def test_late_rows_go_aside(spark, tmp_path):
 def test_upsert_and_completion(spark, tmp_path):
     stream, _ = files(spark, str(tmp_path / "in"), [[(1, 0, 1, "a"), (2, 1, 2, "a")], [(1, 5, 3, "b")]])
     done, store = [], str(tmp_path / "store")
-    handler = sinks.with_completion(lambda df, n: sinks.upsert(df, store, "user_id", "ts", n), lambda c: done.extend(r.correlation_id for r in c.collect()), lambda e, n: done.append(e), "id")
+    handler = sinks.with_completion(lambda df, n: sinks.upsert(df, store, "user_id", "ts", n), lambda c, n: done.extend(r.correlation_id for r in c.collect()), lambda e, n: done.append(e), "id")
     sinks.each_batch(stream, str(tmp_path / "cp"), handler).awaitTermination(120)
-    assert {(r.user_id, r.id) for r in spark.read.parquet(f"{store}/version=1").collect()} == {(1, 3), (2, 2)}
+    last = spark.createDataFrame([], stream.schema)
+    assert {(r.user_id, r.id) for r in sinks.version(last, store, 1).collect()} == {(1, 3), (2, 2)}
+    assert {(r.user_id, r.id) for r in sinks.version(last, store, 0).collect()} == {(1, 1), (2, 2)}
     assert sorted(done) == [1, 2, 3]
+    # only the bucket of the second batch's key was written again, and a repeated batch gives the same
+    assert len(list((tmp_path / "store" / "version=1").glob("upsert_bucket=*"))) == 1
+    sinks.upsert(last.unionByName(sinks.version(last, store, 1).where("user_id = 1")), store, "user_id", "ts", 1)
+    assert {(r.user_id, r.id) for r in sinks.version(last, store, 1).collect()} == {(1, 3), (2, 2)}
+
+
+def test_completion_files_replace_a_repeated_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    handler = sinks.with_completion(lambda df, n: None, sinks.completion_files(str(tmp_path)), lambda e, n: None, "id")
+    handler(rows, 0)
+    handler(rows, 0)
+    handler(rows, 1)
+    assert sorted((r.correlation_id, r.batch) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_a_new_late_splitter_goes_on_where_the_old_one_was(spark, tmp_path):
+    one = lambda: stateful.LateSplitter("ts", "10 minutes", str(tmp_path / "ok"), str(tmp_path / "late"))
+    rows = lambda *x: spark.createDataFrame([(i, T0 + dt.timedelta(minutes=m)) for i, m in x], "id int, ts timestamp")
+    one()(rows((1, 100)), 0)
+    one()(rows((2, 95), (3, 10)), 1)
+    one()(rows((4, 91), (5, 89)), 2)
+    one()(rows((4, 91), (5, 89)), 2)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "late")).collect()) == [3, 5]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == [1, 2, 4]
 
 
 def test_sources(spark, tmp_path):

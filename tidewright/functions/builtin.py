@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 # -- numbers ------------------------------------------------------------------
 def truncate(v: Column, digits: int = 0) -> Column:
+    """Towards zero, in decimal arithmetic (0.29 has no exact double); values too large for it as doubles."""
     scale = 10**digits
-    return F.signum(v) * F.floor(F.abs(v) * scale) / scale
+    rough = F.when(F.abs(v) * scale < 2**53, F.signum(v) * F.floor(F.abs(v) * scale) / scale).otherwise(v.cast("double"))  # larger doubles are whole
+    if digits < 0:
+        return rough
+    exact = F.signum(v) * F.floor(F.abs(v).try_cast("decimal(38,14)") * scale).cast("double") / scale
+    return F.coalesce(exact, rough)
 
 
 def clamp(v: Column, low, high) -> Column:
@@ -103,6 +108,45 @@ def is_same_day(a: Column, b: Column) -> Column:
     return F.to_date(a) == F.to_date(b)
 
 
+def end_of_day(t: Column) -> Column:
+    """The day's last microsecond."""
+    return F.date_trunc("day", t) + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")
+
+
+def add_years(d: Column, n: int) -> Column:
+    return F.add_months(d, 12 * n)
+
+
+def add_hours(t: Column, n) -> Column:
+    return F.timestamp_add("HOUR", n if isinstance(n, Column) else F.lit(n), t)
+
+
+def add_minutes(t: Column, n) -> Column:
+    return F.timestamp_add("MINUTE", n if isinstance(n, Column) else F.lit(n), t)
+
+
+# -- choice -------------------------------------------------------------------
+def if_(condition: Column, yes, no) -> Column:
+    return F.when(condition, yes).otherwise(no)
+
+
+def case_when(*cases, otherwise=None) -> Column:
+    """Pairs (condition, value), the first that holds counts."""
+    out = F
+    for condition, value in cases:
+        out = out.when(condition, value)
+    return out.otherwise(otherwise)
+
+
+def switch(value: Column, cases: dict, otherwise=None) -> Column:
+    return case_when(*((value == F.lit(k), v) for k, v in cases.items()), otherwise=otherwise)
+
+
+def uuid_from_string(s: Column) -> Column:
+    """In lower case, null if it is no UUID."""
+    return F.when(s.rlike(r"\A[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\z"), F.lower(s))
+
+
 # -- conversion and nulls -----------------------------------------------------
 def parse_int(s: Column) -> Column:
     return F.trim(s).try_cast("bigint")
@@ -203,6 +247,44 @@ def group_by(a: Column, key) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(a, lambda x: key(x).eqNullSafe(k))))
 
 
+def get_or(a: Column, i: int, default) -> Column:
+    return F.coalesce(F.get(a, F.lit(i)), F.lit(default))
+
+
+def remove_values(a: Column, values: list) -> Column:
+    """Without any of the values; nulls stay."""
+    return F.filter(a, lambda x: ~F.coalesce(x.isin(list(values)), F.lit(False)))
+
+
+def take_last(a: Column, n: int) -> Column:
+    return F.reverse(F.slice(F.reverse(a), 1, n))
+
+
+def drop_last(a: Column, n: int) -> Column:
+    return F.slice(a, F.lit(1), F.greatest(F.size(a) - n, F.lit(0)))
+
+
+def last_index_in(a: Column, value) -> Column:
+    """0-based, -1 if absent."""
+    back = F.coalesce(F.array_position(F.reverse(a), value), F.lit(0))
+    return F.when(back > 0, F.size(a) - back).otherwise(-1).cast("int")
+
+
+def find_index(a: Column, test) -> Column:
+    """Place of the first element that passes, -1 without one."""
+    return index_in(F.transform(a, lambda x: F.coalesce(test(x), F.lit(False))), True)
+
+
+def distinct_by(a: Column, key) -> Column:
+    """The first element of every key."""
+    names = F.transform(a, lambda x: F.struct(key(x)))
+    return F.transform(F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_position(names, F.struct(key(p["x"]))) == p["i"] + 1), lambda p: p["x"])
+
+
+def sort_descending(a: Column) -> Column:
+    return F.sort_array(a, asc=False)
+
+
 def symmetric_difference(a: Column, b: Column) -> Column:
     return F.array_union(F.array_except(a, b), F.array_except(b, a))
 
@@ -222,6 +304,11 @@ def map_remove(m: Column, *keys) -> Column:
     return F.map_filter(m, lambda k, _: ~k.isin(list(keys)))
 
 
+def map_put_all(m: Column, other: Column) -> Column:
+    """Both maps; the other's values win."""
+    return F.map_concat(F.map_filter(m, lambda k, _: ~F.array_contains(F.map_keys(other), k)), other)
+
+
 def map_invert(m: Column) -> Column:
     return F.map_from_arrays(F.map_values(m), F.map_keys(m))
 

@@ -45,10 +45,10 @@ def calendar(spark, start: str, end: str, holidays: list[str] = ()) -> DataFrame
 
 
 def add_business_days(df: DataFrame, days: DataFrame, column: str, n: int, into: str) -> DataFrame:
-    """The n-th business day after `column`, by two joins with the calendar (a few thousand rows, broadcast)."""
+    """The n-th business day after `column`, by two joins with the calendar (a few thousand rows, which Spark sees and broadcasts)."""
     here = days.select(F.col("day").alias("_d"), F.col("nth").alias("_n"))
     there = days.where("is_business").select(F.col("nth").alias("_m"), F.col("day").alias(into))
-    out = df.join(F.broadcast(here), F.to_date(column) == F.col("_d"), "left").join(F.broadcast(there), F.col("_n") + n == F.col("_m"), "left")
+    out = df.join(here, F.to_date(column) == F.col("_d"), "left").join(there, F.col("_n") + n == F.col("_m"), "left")
     return out.drop("_d", "_n", "_m")
 
 
@@ -56,5 +56,5 @@ def business_days_between(df: DataFrame, days: DataFrame, start: str, end: str,
     """Business days after `start` up to and with `end`."""
     a = days.select(F.col("day").alias("_a"), F.col("nth").alias("_na"))
     b = days.select(F.col("day").alias("_b"), F.col("nth").alias("_nb"))
-    out = df.join(F.broadcast(a), F.to_date(start) == F.col("_a"), "left").join(F.broadcast(b), F.to_date(end) == F.col("_b"), "left")
+    out = df.join(a, F.to_date(start) == F.col("_a"), "left").join(b, F.to_date(end) == F.col("_b"), "left")
     return out.withColumn(into, F.col("_nb") - F.col("_na")).drop("_a", "_na", "_b", "_nb")

@@ -91,3 +91,71 @@ def map_leaves(df: DataFrame, change: Callable[[Column], Column], only: Sequence
         return change(c) if kind.simpleString() in only else c
 
     return df.select(*(walk(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
+
+
+def field_type(kind: StructType, path: str) -> str | None:
+    """Type of a field by path, None if it is not there."""
+    for part in path.split("."):
+        if not isinstance(kind, StructType) or part not in kind.names:
+            return None
+        kind = kind[part].dataType
+    return kind.simpleString()
+
+
+def move(record: Column, old: str, new: str) -> Column:
+    return remove(put(record, new, _at(record, old)), old)
+
+
+def create(**fields: Column) -> Column:
+    return F.struct(*(c.alias(name) for name, c in fields.items()))
+
+
+def values(record: Column, kind: StructType) -> Column:
+    """All top-level values, as texts (an array has one type)."""
+    return F.array(*(record[n].cast("string") for n in kind.names))
+
+
+def entries(record: Column, kind: StructType) -> Column:
+    return F.array(*(F.struct(F.lit(n).alias("key"), record[n].cast("string").alias("value")) for n in kind.names))
+
+
+def query(data: Column, path: str) -> Column:
+    """What a JSON path finds in a text or a record, as a text."""
+    return F.get_json_object(data, path)
+
+
+def query_first(data: Column, path: str) -> Column:
+    """The first of what a JSON path finds; a single finding is its own first."""
+    found = F.get_json_object(data, path)
+    return F.when(F.startswith(found, F.lit("[")), F.get_json_object(found, "$[0]")).otherwise(found)
+
+
+def query_paths(kind: StructType, pattern: str) -> list[str]:
+    """Dotted paths of leaves that match a pattern, where * stands for one part."""
+    wanted = pattern.removeprefix("$.").split(".")
+    return [p for p in keys(kind, deep=True) if len(p.split(".")) == len(wanted) and all(w in ("*", x) for w, x in zip(wanted, p.split(".")))]
+
+
+def reshape(record: Column, shape: dict) -> Column:
+    """A record of another shape: names to paths, or to shapes in turn."""
+    return F.struct(*((reshape(record, to) if isinstance(to, dict) else _at(record, to)).alias(name) for name, to in shape.items()))
+
+
+def required_fields(kind: StructType) -> list[str]:
+    return [f.name for f in kind.fields if not f.nullable]
+
+
+def violations(record: Column, kind: StructType) -> Column:
+    """Paths of required fields that are null, and of values that can't be what the schema says (given as texts)."""
+    found = []
+    for f in kind.fields:
+        c = record[f.name]
+        if not f.nullable:
+            found.append(F.when(c.isNull(), F.lit(f"{f.name}: missing")))
+        if not isinstance(f.dataType, StructType):
+            found.append(F.when(c.isNotNull() & c.try_cast(f.dataType).isNull(), F.lit(f"{f.name}: not {f.dataType.simpleString()}")))
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def is_valid(record: Column, kind: StructType) -> Column:
+    return F.size(violations(record, kind)) == 0

@@ -16,6 +16,14 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.lit(c)
 
 
+#: What trimming takes off, all signs up to the space.
+_BLANKS = "".join(map(chr, range(0x21)))
+
+
+def _trimmed(s) -> Column:
+    return F.btrim(_col(s), F.lit(_BLANKS))
+
+
 def false_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -83,12 +91,12 @@ def is_empty(s) -> Column:
 
 
 def is_blank(s) -> Column:
-    return F.coalesce(F.trim(_col(s)) == "", F.lit(True))
+    return F.coalesce(_trimmed(s) == "", F.lit(True))
 
 
 def matches(s, pattern: str) -> Column:
     """The whole text matches."""
-    return false_if_null(_col(s).rlike(f"^(?:{pattern})$"))
+    return false_if_null(_col(s).rlike(rf"\A(?:{pattern})\z"))
 
 
 # -- dates --------------------------------------------------------------------
@@ -181,16 +189,16 @@ def not_member(v, values: list) -> Column:
 
 # -- conversion ---------------------------------------------------------------
 def to_long(s) -> Column:
-    return F.trim(_col(s)).try_cast("bigint")
+    return _trimmed(s).try_cast("bigint")
 
 
 def to_decimal(s, kind: str = "decimal(38,10)") -> Column:
-    return F.trim(_col(s)).try_cast(kind)
+    return _trimmed(s).try_cast(kind)
 
 
 def to_boolean(s) -> Column:
     """"true", "yes" and "1" are true, all else is false."""
-    return false_if_null(F.lower(F.trim(_col(s))).isin("true", "yes", "1"))
+    return false_if_null(F.lower(_trimmed(s)).isin("true", "yes", "1"))
 
 
 # -- protection ---------------------------------------------------------------

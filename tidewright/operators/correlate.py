@@ -17,7 +17,8 @@ def await_match(first: DataFrame, second: DataFrame, keys: Sequence[str], time:
     One row an event that ends a wait or goes without: outcome `matched`,
     `timeout` (a first event that no second one took in time) or `unmatched`
     (a second event with nothing pending). A newer first event replaces a
-    pending one, whose outcome is `replaced`.
+    pending one, whose outcome is `replaced`. Null keys never match: such a first
+    event times out, such a second one is unmatched.
     """
     a = first.select(*keys, F.col(time).alias("_t"), F.col(ident).alias("_id"), F.lit(0).alias("_side"))
     b = second.select(*keys, F.col(time).alias("_t"), F.col(ident).alias("_id"), F.lit(1).alias("_side"))
@@ -29,7 +30,10 @@ def await_match(first: DataFrame, second: DataFrame, keys: Sequence[str], time:
     takes = (F.col("_side") == 1) & (F.col("_ps") == 0) & (F.col("_t") <= F.col("_pt") + bound)
     taken = (F.col("_side") == 0) & (F.col("_ns") == 1) & (F.col("_nt") <= F.col("_t") + bound)
     replaced = (F.col("_side") == 0) & (F.col("_ns") == 0) & (F.col("_nt") <= F.col("_t") + bound)
-    takes, taken, replaced = (F.coalesce(x, F.lit(False)) for x in (takes, taken, replaced))
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    takes, taken, replaced = (F.coalesce(x & keyed, F.lit(False)) for x in (takes, taken, replaced))
     outcome = F.when(takes, "matched").when(F.col("_side") == 1, "unmatched").when(replaced, "replaced").otherwise("timeout")
     out = seq.where(~taken).withColumn("outcome", outcome)
     return out.select(
@@ -41,6 +45,22 @@ def await_match(first: DataFrame, second: DataFrame, keys: Sequence[str], time:
     )
 
 
+def on_timeout(outcomes: DataFrame, action: str, reason: str = "timed out") -> tuple[DataFrame, DataFrame]:
+    """What goes on and what goes aside after a wait or a hold (rows with an `outcome`).
+
+    emit: timeouts go on with the rest, as what they are; dead_letter: they go
+    aside with a `reason`; skip: they are left out.
+    """
+    timed_out = F.col("outcome") == "timeout"
+    if action == "emit":
+        return outcomes, outcomes.where(F.lit(False)).withColumn("reason", F.lit(reason))
+    if action == "dead_letter":
+        return outcomes.where(~timed_out), outcomes.where(timed_out).withColumn("reason", F.lit(reason))
+    if action == "skip":
+        return outcomes.where(~timed_out), outcomes.where(F.lit(False)).withColumn("reason", F.lit(reason))
+    raise ValueError(f"unknown action {action!r}")
+
+
 def hold_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int, record: Column) -> tuple[DataFrame, DataFrame]:
     """Full batches of `count` rows of a key, and the rows of the last, incomplete one."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -74,8 +74,10 @@ def lookup_as_of(df: DataFrame, history: DataFrame, keys: Sequence[str], time: s
 
     One shuffle: both sides are put in one stream ordered by time, and the last
     history record is carried forward. If several history rows have the same
-    time, the one of greatest fields counts.
+    time, the one of greatest fields counts. Null keys never match: a row with
+    one gets null fields.
     """
+    history = history.dropna(subset=list(keys))
     # history comes first among equal times; one history row for each key and time
     h = history.groupBy(*keys, effective).agg(F.max(F.struct(*fields)).alias("_f")).select(*keys, F.col(effective).alias("_t"), F.lit(0).alias("_s"), F.struct(F.col(effective).alias("_e"), *(F.col(f"_f.{f}").alias(f) for f in fields)).alias("_h"))
     d = df.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_s"), F.struct(*df.columns).alias("_d"))

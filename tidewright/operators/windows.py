@@ -51,14 +51,25 @@ def sessions(df: DataFrame, keys: Sequence[str], time: str, gap: str, order: Seq
     return df.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def late_split(df: DataFrame, time: str, arrival: str, delay: str, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def late_split(df: DataFrame, time: str, arrival: str, delay: str, keys: Sequence[str] = (), spans: int = 64) -> tuple[DataFrame, DataFrame]:
     """Rows in time, and rows later than the greatest time seen before them less the delay (watermark and lateness together).
 
     Arrival order is a total order; it is taken within keys (a partition of a
-    source), since each partition of a stream has a watermark of its own.
+    source), since each partition of a stream has a watermark of its own. A key
+    (without keys: everything) may hold any share of the rows: arrivals are cut
+    into `spans` by quantiles, each span's greatest time goes to those after it
+    (`spans` rows a key), and only rows of one span are ordered together.
+    Arrivals are numbers or times.
     """
-    before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    judged = df.withColumn("_late", F.coalesce(F.col(time) < F.max(time).over(before) - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+    at = F.col(arrival).cast("timestamp").cast("double") if dict(df.dtypes)[arrival].startswith(("timestamp", "date")) else F.col(arrival).cast("double")
+    cuts = df.select(at.alias("_a")).approxQuantile("_a", [i / spans for i in range(1, spans)], 0.25 / spans)
+    cut = df.withColumn("_span", sum((F.when(at >= c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
+    ahead = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    greatest = cut.groupBy(*keys, "_span").agg(F.max(time).alias("_m")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_span").alias("_s"), F.max("_m").over(ahead).alias("_m"))
+    joined = cut.join(greatest, [F.col("_span") == F.col("_s"), *(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)])
+    before = Window.partitionBy(*keys, "_span").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest(F.max(time).over(before), F.col("_m"))
+    judged = joined.withColumn("_late", F.coalesce(F.col(time) < seen - F.expr(f"INTERVAL {delay}"), F.lit(False))).select(*df.columns, "_late")
     return judged.where(~F.col("_late")).drop("_late"), judged.where("_late").drop("_late")
 
 
@@ -91,11 +102,9 @@ def last_value_by(value: Column, order: Column) -> Column:
     return F.max_by(value, order)
 
 
-def collect_ordered(value: Column, order: Column, limit: int | None = None) -> Column:
-    """Values in order, at most `limit`."""
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    values = F.transform(pairs, lambda p: p["v"])
-    return values if limit is None else F.slice(values, 1, limit)
+def collect_ordered(value: Column, order: Column) -> Column:
+    """All values of a group in order (for the first few of a large group see first_values)."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda p: p["v"])
 
 
 def string_agg(value: Column, separator: str) -> Column:
@@ -114,9 +123,25 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_values(value: Column, k: int) -> Column:
-    """The k greatest values of a group, greatest first."""
-    return F.slice(F.reverse(F.array_sort(F.collect_list(value))), 1, k)
+def first_values(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[Column], k: int, into: str = "values") -> DataFrame:
+    """For each key the values of its first `k` rows, in order; nulls are passed over. No task keeps more than k rows of a key.
+
+    order: Columns, or pairs (Column, descending).
+    """
+    plain = df.select(*keys, value.alias("_v"), *(o.alias(f"_o{i}") for i, (o, _) in enumerate(_ordered(order)))).where("_v IS NOT NULL")
+    by = [F.col(f"_o{i}").desc() if down else F.col(f"_o{i}").asc() for i, (_, down) in enumerate(_ordered(order))]
+    few = top_k(plain, keys, by, k)
+    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "_v"))).alias("_l"))
+    return listed.select(*keys, F.transform("_l", lambda x: x["_v"]).alias(into))
+
+
+def _ordered(order: Sequence) -> list[tuple[Column, bool]]:
+    return [o if isinstance(o, tuple) else (o, False) for o in order]
+
+
+def top_values(df: DataFrame, keys: Sequence[str], value: Column, k: int, into: str = "top") -> DataFrame:
+    """For each key its k greatest values, greatest first."""
+    return first_values(df, keys, value, [(value, True)], k, into)
 
 
 def latest_by(value: Column, offset: Column) -> Column:

@@ -143,7 +143,8 @@ def metrics_rate(t: Tables):
 
 @query("""SELECT user_id, array_to_string(list_slice(list(value ORDER BY value DESC), 1, 3), ',') AS top FROM (SELECT user_id, CAST(FLOOR(value) AS BIGINT) AS value FROM events) GROUP BY 1""")
 def agg_topk_values(t: Tables):
-    return t.events.withColumn("v", F.floor("value")).groupBy("user_id").agg(F.concat_ws(",", windows.top_values(F.col("v"), 3).cast("array<string>")).alias("top"))
+    top = windows.top_values(t.events, ["user_id"], F.floor("value"), 3)
+    return top.select("user_id", F.concat_ws(",", F.col("top").cast("array<string>")).alias("top"))
 
 
 @query("""SELECT event_id, CASE WHEN ts >= (SELECT MIN(ts) FROM events WHERE value > 99) THEN 'after' ELSE 'before' END AS era FROM events""")

@@ -84,11 +84,9 @@ def agg_conditional(t: Tables):
 
 @query("""SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), '|') AS segments, array_to_string(list_slice(list(c_custkey ORDER BY c_custkey), 1, 3), ',') AS firsts, string_agg(c_mktsegment, '/' ORDER BY c_mktsegment) AS joined FROM customer GROUP BY 1""")
 def agg_collect(t: Tables):
-    return t.customer.groupBy("c_nationkey").agg(
-        F.concat_ws("|", F.array_sort(F.collect_set("c_mktsegment"))).alias("segments"),
-        F.concat_ws(",", F.slice(F.array_sort(F.collect_list("c_custkey")), 1, 3).cast("array<string>")).alias("firsts"),
-        op.string_agg(F.col("c_mktsegment"), "/").alias("joined"),
-    )
+    firsts = op.first_values(t.customer, ["c_nationkey"], F.col("c_custkey"), [F.col("c_custkey")], 3, "firsts")
+    whole = t.customer.groupBy("c_nationkey").agg(F.concat_ws("|", F.array_sort(F.collect_set("c_mktsegment"))).alias("segments"), op.string_agg(F.col("c_mktsegment"), "/").alias("joined"))
+    return whole.join(firsts.withColumn("firsts", F.concat_ws(",", F.col("firsts").cast("array<string>"))), "c_nationkey")
 
 
 @query("""SELECT user_id, arg_max(value, (ts, event_id)) AS newest, arg_min(value, (ts, event_id)) AS oldest FROM events GROUP BY 1""")

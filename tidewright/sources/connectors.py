@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def _client(options: dict[str, str]):
@@ -33,8 +33,11 @@ class KeyedReader(DataSourceReader):
                 yield key, value
 
 
-class KeyedStreamReader(SimpleDataSourceStreamReader):
-    """Follows a store's log: client.log(start, end) gives (key, value) of entries [start, end), client.end() the next entry's number."""
+class KeyedStreamReader(DataSourceStreamReader):
+    """Follows a store's log: client.log(start, end) gives (key, value) of entries [start, end), client.end() the next entry's number.
+
+    The driver asks for numbers alone; the entries of a batch are cut into parts of `batch` entries, read by the tasks.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.options = dict(options)
@@ -42,13 +45,15 @@ class KeyedStreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"at": int(self.options.get("start", "0"))}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        client = _client(self.options)
-        end = client.end()
-        return iter(list(client.log(start["at"], end))), {"at": end}
+    def latestOffset(self) -> dict:
+        return {"at": _client(self.options).end()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        step = max(1, int(self.options.get("batch", "1000")))
+        return [InputPartition((at, min(end["at"], at + step))) for at in range(start["at"], end["at"], step)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(list(_client(self.options).log(start["at"], end["at"])))
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from _client(self.options).log(*partition.value)
 
     def commit(self, end: dict) -> None:
         pass
@@ -65,7 +70,7 @@ class KeyedSource(DataSource):
     def reader(self, schema) -> KeyedReader:
         return KeyedReader(self.options)
 
-    def simpleStreamReader(self, schema) -> KeyedStreamReader:
+    def streamReader(self, schema) -> KeyedStreamReader:
         return KeyedStreamReader(self.options)
 
 

@@ -28,17 +28,46 @@ def fan_out_partitions(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n)
 
 
-def upsert(df: DataFrame, path: str, key: str, order: str, number: int) -> None:
-    """The last row of each key wins over what is stored. Batch `number` writes the version of that number from the one before, so a batch that is repeated gives the same."""
+#: Buckets of a keyed store; a batch rewrites those that it has keys of.
+BUCKETS = 64
+_BUCKET = "upsert_bucket"
+
+
+def upsert(df: DataFrame, path: str, key: str, order: str, number: int, buckets: int = BUCKETS) -> None:
+    """The last row of each key wins over what is stored.
+
+    Keys are hashed into buckets, and batch `number` writes new versions of the
+    buckets that it touches, each from the bucket's version before; a list of
+    the buckets' versions says what the store holds after the batch. So a batch
+    that is repeated gives the same.
+    """
     columns = [c for c in df.columns if c != key]
     last = df.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_s")).select(key, *(F.col(f"_s.{c}").alias(c) for c in columns))
-    new = merge_into(version(df, path, number - 1), last, key, columns) if number else last
-    new.write.mode("overwrite").parquet(f"{path}/version={number}")
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    touched = {r[0] for r in last.select(bucket).distinct().collect()}  # `buckets` rows at most
+    before = _versions(df, path, number - 1) if number else {}
+    stored = _stored(df, path, {b: v for b, v in before.items() if b in touched})
+    new = merge_into(stored, last, key, columns) if stored is not None else last
+    new.withColumn(_BUCKET, bucket).repartition(F.col(_BUCKET)).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/version={number}")
+    known = [*{**before, **dict.fromkeys(touched, number)}.items()]
+    df.sparkSession.createDataFrame(known, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
+
+
+def _versions(df: DataFrame, path: str, number: int) -> dict[int, int]:
+    """Version of each bucket after a batch (one row a bucket)."""
+    return {r["bucket"]: r["version"] for r in df.sparkSession.read.schema("bucket int, version int").parquet(f"{path}/versions/batch={number}").collect()}
+
+
+def _stored(df: DataFrame, path: str, versions: dict[int, int]) -> DataFrame | None:
+    if not versions:
+        return None
+    return df.sparkSession.read.schema(df.schema).parquet(*(f"{path}/version={v}/{_BUCKET}={b}" for b, v in sorted(versions.items())))
 
 
 def version(df: DataFrame, path: str, number: int) -> DataFrame:
     """What was stored after a batch."""
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/version={number}")
+    found = _stored(df, path, _versions(df, path, number))
+    return found if found is not None else df.limit(0)
 
 
 def each_batch(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], once: bool = True, every: str | None = None) -> StreamingQuery:
@@ -47,8 +76,11 @@ def each_batch(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int]
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def with_completion(target: Callable[[DataFrame, int], None], completed: Callable[[DataFrame], None], failed: Callable[[str, int], None], correlation: str, include: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """After a batch is written its completion rows are; if writing fails, the failure is told and raised again."""
+def with_completion(target: Callable[[DataFrame, int], None], completed: Callable[[DataFrame, int], None], failed: Callable[[str, int], None], correlation: str, include: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """After a batch is written its completion rows are; if writing fails, the failure is told and raised again.
+
+    `completed` gets the batch's number: a batch that is repeated must not tell twice (see `completion_files`).
+    """
 
     def handle(df: DataFrame, number: int) -> None:
         try:
@@ -56,6 +88,11 @@ def with_completion(target: Callable[[DataFrame, int], None], completed: Callabl
         except Exception as error:
             failed(str(error), number)
             raise
-        completed(df.select(F.col(correlation).alias("correlation_id"), *include, F.lit(number).alias("batch")))
+        completed(df.select(F.col(correlation).alias("correlation_id"), *include, F.lit(number).alias("batch")), number)
 
     return handle
+
+
+def completion_files(path: str) -> Callable[[DataFrame, int], None]:
+    """Completion rows as files, one folder a batch, which a repeated batch replaces."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/completed={number}")

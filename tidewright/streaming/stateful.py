@@ -49,7 +49,8 @@ _PENDING = StructType([StructField("id", LongType()), StructField("t", LongType(
 def await_stream(events: DataFrame, key: str, ident: str, time: str, side: Column, timeout: str, delay: str) -> DataFrame:
     """First events (side 0) wait for second ones (side 1) of their key; outcomes as in operators.correlate.await_match.
 
-    Event-time timers: a wait ends when the watermark has passed its end.
+    Event-time timers: a wait ends when the watermark has passed its end. Events
+    with a null key wait each by itself, so they never match.
     """
     limit = _seconds(timeout) * 1000
 
@@ -83,8 +84,8 @@ def await_stream(events: DataFrame, key: str, ident: str, time: str, side: Colum
         out = pd.DataFrame(rows, columns=_OUT.names)
         yield out.astype({"first_id": "Int64", "second_id": "Int64"})
 
-    marked = events.withWatermark(time, delay).select(F.col(key).cast("string").alias("key"), F.col(ident).cast("bigint").alias("id"), F.unix_millis(time).alias("t"), side.cast("int").alias("side"), F.col(time).alias("_time"))
-    return marked.groupBy("key").applyInPandasWithState(step, _OUT, _PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+    marked = events.withWatermark(time, delay).select(F.col(key).cast("string").alias("key"), F.col(ident).cast("bigint").alias("id"), F.unix_millis(time).alias("t"), side.cast("int").alias("side"), F.when(F.col(key).isNull(), F.col(ident).cast("bigint")).alias("lone"), F.col(time).alias("_time"))
+    return marked.groupBy("key", "lone").applyInPandasWithState(step, _OUT, _PENDING, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 _HELD = StructType([StructField("key", StringType()), StructField("ids", StringType()), StructField("outcome", StringType())])
@@ -128,16 +129,26 @@ class LateSplitter:
     """foreachBatch handler that writes rows in time to one place and late ones to another.
 
     The watermark of a batch is the greatest time of all batches before it, less
-    the delay; it is kept in memory between batches and starts unknown.
+    the delay. It is written beside the late rows after every batch, so that a
+    query that starts again, or repeats a batch, judges as it did before.
     """
 
     def __init__(self, time: str, delay: str, in_time: str, late: str):
-        self.time, self.seconds, self.in_time, self.late, self.seen = time, _seconds(delay), in_time, late, None
+        self.time, self.seconds, self.in_time, self.late = time, _seconds(delay), in_time, late
+        self.number, self.seen = -1, None
+
+    def _before(self, df: DataFrame, number: int):
+        """Greatest time of the batches before, from memory or from what was written."""
+        if number == 0 or self.number == number - 1:
+            return self.seen if number else None
+        return df.sparkSession.read.schema("seen timestamp").parquet(f"{self.late}/_seen/batch={number - 1}").first()["seen"]
 
     def __call__(self, df: DataFrame, number: int) -> None:
-        bound = F.lit(self.seen).cast("timestamp") - F.expr(f"INTERVAL {self.seconds} SECONDS") if self.seen is not None else F.lit(None).cast("timestamp")
+        seen = self._before(df, number)
+        bound = F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {self.seconds} SECONDS") if seen is not None else F.lit(None).cast("timestamp")
         judged = df.withColumn("_late", F.coalesce(F.col(self.time) < bound, F.lit(False)))
         judged.where(~F.col("_late")).drop("_late").write.mode("overwrite").parquet(f"{self.in_time}/batch={number}")
         judged.where("_late").drop("_late").write.mode("overwrite").parquet(f"{self.late}/batch={number}")
         newest = df.agg(F.max(self.time)).first()[0]
-        self.seen = newest if self.seen is None else max(self.seen, newest or self.seen)
+        self.number, self.seen = number, newest if seen is None else max(seen, newest or seen)
+        df.sparkSession.createDataFrame([(self.seen,)], "seen timestamp").coalesce(1).write.mode("overwrite").parquet(f"{self.late}/_seen/batch={number}")

@@ -177,6 +177,31 @@ class Act:
     name: str
 
 
+#: The catalogue of actions, by category.
+ACTIONS = {
+    "application_processing": ("reject_application", "approve_application", "instant_approval", "conditional_approval", "manual_review", "require_manual_review"),
+    "transaction_authorization": ("approve_transaction", "block_transaction", "decline", "temporary_block"),
+    "risk_management": ("flag_for_review", "require_verification", "require_phone_verification", "require_step_up_auth", "require_additional_auth"),
+    "communication": ("send_alert", "send_sms_verification", "send_real_time_alert"),
+    "account_management": ("increase_credit_limit", "decrease_credit_limit"),
+}
+
+
+def act(name: str) -> Act:
+    """An action of the catalogue, by its name in snake_case or camelCase."""
+    snake = "".join(f"_{c.lower()}" if c.isupper() and not (i and name[i - 1].isupper()) else c.lower() for i, c in enumerate(name))
+    if not any(snake in names for names in ACTIONS.values()):
+        raise KeyError(f"no action named {name!r}")
+    return Act(snake)
+
+
+def action_requests(df: DataFrame, keys: Sequence[str], context: Sequence[str] = (), actions: str = "actions") -> DataFrame:
+    """One row for each action that a procedure has listed: keys, place, action, its category (null outside the catalogue), and the context as JSON."""
+    table = F.create_map(*(F.lit(x) for category, names in ACTIONS.items() for n in names for x in (n, category)))
+    payload = F.to_json(F.struct(*context)) if context else F.lit(None).cast("string")
+    return df.select(*keys, payload.alias("context"), F.posexplode(actions).alias("place", "action")).select(*keys, "place", "action", F.try_element_at(table, F.col("action")).alias("category"), "context")
+
+
 @dataclass(frozen=True)
 class Return:
     pass

@@ -123,6 +123,28 @@ def dead_letters(rejected: DataFrame, stage: str, clock: Column | None = None) -
     return rejected.select(payload.alias("payload"), F.col("errors").alias("messages"), F.lit(stage).alias("stage"), (clock if clock is not None else F.current_timestamp()).alias("failed_at"))
 
 
+#: What an error policy may say.
+POLICIES = ("retry", "skip", "dead_letter", "fail")
+
+
+def by_error_class(failed: DataFrame, error_class: str, policies: dict[str, str], otherwise: str = "dead_letter") -> dict[str, DataFrame]:
+    """Failed rows by what is to be done with them; policies by class of error, "*" in a class stands for any text.
+
+    `fail` raises for the first row that has such a class, when its frame is used.
+    """
+    unknown = {*policies.values(), otherwise} - {*POLICIES}
+    if unknown:
+        raise ValueError(f"unknown policies {sorted(unknown)}")
+    choice = F.lit(otherwise)
+    for pattern, policy in reversed(policies.items()):
+        choice = F.when(F.coalesce(F.col(error_class).like(pattern.replace("*", "%")), F.lit(False)), policy).otherwise(choice)
+    judged = failed.withColumn("_policy", choice)
+    out = {p: judged.where(F.col("_policy") == p).drop("_policy") for p in POLICIES}
+    text = F.concat(F.lit("failed: "), F.coalesce(F.col(error_class), F.lit("no class")))
+    out["fail"] = judged.where(F.when(F.col("_policy") == "fail", F.raise_error(text).cast("boolean")).otherwise(False)).drop("_policy")
+    return out
+
+
 # -- branches -------------------------------------------------------------------
 Step = Callable[[DataFrame], DataFrame]
 
@@ -144,6 +166,16 @@ def min_required(df: DataFrame, keys: Sequence[str], branch_column: str, least:
     return df.groupBy(*keys).agg(F.countDistinct(branch_column).alias("branches")).where(F.col("branches") >= least)
 
 
+def parallel_required(df: DataFrame, branches: dict[str, Step], keys: Sequence[str], name: str = "branch", require_all: bool = True, least: int = 1) -> DataFrame:
+    """As parallel, of keys that came through every branch (`require_all`) or through `least` of them.
+
+    A bounded job has no clock to time a branch out by: a branch that gives nothing for a key is what a timeout would leave.
+    """
+    out = parallel(df, branches, name)
+    through = min_required(out, keys, name, len(branches) if require_all else least).drop("branches")
+    return out.join(through, list(keys), "left_semi")
+
+
 def merge(*inputs: DataFrame) -> DataFrame:
     """All rows of all inputs, copies included; columns go by name."""
     return reduce(lambda a, b: a.unionByName(b), inputs)

@@ -29,6 +29,14 @@ def counter_with_ttl(df: DataFrame, keys: Sequence[str], time: str, order: Seque
     return counter(numbered, [*keys, "session"], [time, *order], into).drop("session")
 
 
+def counter_with_absolute_ttl(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], ttl: str, into: str = "counter") -> DataFrame:
+    """As counter, but the state ends when the ttl after its first row has passed, whatever comes meanwhile. Rows without a time are left out."""
+    from tidewright.operators.correlate import hold_window
+
+    lives = hold_window(df, keys, time, order, ttl)
+    return counter(lives, [*keys, "buffer"], [time, *order], into).drop("buffer", "outcome")
+
+
 def buffer(df: DataFrame, keys: Sequence[str], order: Sequence[str], record: Column, kind: str = "fifo", priority: Column | None = None) -> DataFrame:
     """All records of a key: fifo (oldest first), lifo (newest first), priority (highest first, then oldest)."""
     if kind == "priority":
@@ -71,6 +79,20 @@ class StateMachine:
         first = F.coalesce(F.col(state) == self.initial, F.lit(False))
         return df.withColumn("_p", previous).withColumn(into, F.when(F.col("_p").isNull(), first).otherwise(self.allowed(F.col("_p.s"), F.col(state)))).drop("_p")
 
+    def transitions(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, actions: dict[tuple[str, str], str] | None = None) -> DataFrame:
+        """Rows that move their key from one state to another, with `from_state`, `to_state`, `valid` and the `action` of the move.
+
+        actions: names by (from, to), "*" for any state; the exact pair goes before one with a star.
+        """
+        w = Window.partitionBy(*keys).orderBy(*order)
+        moved = self.check(df, keys, order, state).withColumns({"from_state": F.lag(state).over(w), "to_state": F.col(state)})
+        moved = moved.where(F.col("from_state").isNotNull() & (F.col("from_state") != F.col("to_state")))
+        action = F.lit(None).cast("string")
+        for (old, new), name in sorted((actions or {}).items(), key=lambda a: a[0].count("*"), reverse=True):
+            hit = (F.lit(True) if old == "*" else F.col("from_state") == old) & (F.lit(True) if new == "*" else F.col("to_state") == new)
+            action = F.when(hit & F.col("valid"), name).otherwise(action)
+        return moved.withColumn("action", action)
+
     def is_final(self, state: Column) -> Column:
         ends = [s for s in {*self.states, *self.final, self.initial, *(t for ts in self.moves.values() for t in ts)} if s in self.final or not self.moves.get(s)]
         return F.coalesce(state.isin(*ends), F.lit(False))
@@ -91,6 +113,34 @@ def marker_at_signal(df: DataFrame, name: str, time: str, condition: Column) ->
     return df.where(condition).agg(F.min(time).alias("at")).where(F.col("at").isNotNull()).select(F.lit(name).alias("marker"), "at")
 
 
+def marker_when_drained(df: DataFrame, name: str, time: str, gap: str, spans: str = "1 hour") -> DataFrame:
+    """When the stream had first been quiet for the gap (its last row counts): one row (marker, at).
+
+    Rows are cut into spans of time; a span passes on its last time to the next
+    one, so only rows of one span are ordered together.
+    """
+    at = F.col(time).cast("timestamp")
+    cut = df.where(at.isNotNull()).select(F.col(time).alias("t"), F.window(at, spans)["start"].alias("s"))
+    inside = cut.withColumn("n", F.lead("t").over(Window.partitionBy("s").orderBy("t")))
+    first = cut.groupBy("s").agg(F.min("t").alias("f"))  # one row a span
+    ahead = first.select("s", F.lead("f").over(Window.orderBy("s")).alias("a"))
+    following = inside.join(ahead, "s").withColumn("n", F.coalesce("n", "a"))
+    quiet = following.where(F.col("n").isNull() | (F.col("n") > F.col("t") + F.expr(f"INTERVAL {gap}")))
+    return quiet.agg(F.min("t").alias("t")).where("t IS NOT NULL").select(F.lit(name).alias("marker"), (F.col("t") + F.expr(f"INTERVAL {gap}")).alias("at"))
+
+
+def marker_after(markers: DataFrame, name: str, other: str, delay: str) -> DataFrame:
+    """Fires a delay after another marker."""
+    return markers.where(F.col("marker") == other).agg(F.min("at").alias("at")).where("at IS NOT NULL").select(F.lit(name).alias("marker"), (F.col("at") + F.expr(f"INTERVAL {delay}")).alias("at"))
+
+
+def marker_of(markers: DataFrame, name: str, others: Sequence[str], every: bool = True) -> DataFrame:
+    """Fires when every one (`and`) or the first one (`or`) of some markers has."""
+    first = markers.where(F.col("marker").isin(*others)).groupBy("marker").agg(F.min("at").alias("at"))
+    both = first.agg(F.count("*").alias("n"), (F.max if every else F.min)("at").alias("at"))
+    return both.where(F.col("n") >= (len(set(others)) if every else 1)).select(F.lit(name).alias("marker"), "at")
+
+
 def phase(df: DataFrame, time: str, markers: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
     """Rows at or after one marker and before another; a marker that never fired lets nothing after it, and everything before it."""
     for name, is_start in ((after, True), (before, False)):

@@ -196,3 +196,8 @@ def region_revenue(t: Tables):
     l = t.lineitem.select("l_orderkey", "l_extendedprice", "l_discount")
     joined = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(place, F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("r_name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
+
+
+@query(_SEQ + "SELECT event_id AS first_id, 'late' AS reason FROM q WHERE side = 0 AND NOT COALESCE(nt <= ts + INTERVAL 24 HOUR, FALSE)")
+def await_dead_letter(t: Tables):
+    return co.on_timeout(_await(t), "dead_letter", "late")[1].select("first_id", "reason")

@@ -223,3 +223,16 @@ def onchange_recalc(t: Tables):
 def fn_null_rules(t: Tables):
     b = F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand"))
     return t.part.select("p_partkey", rt.length(b).alias("n"), rt.starts_with(b, "Brand#1").alias("s"), rt.is_empty(b).alias("e"))
+
+
+@query("""SELECT o_orderkey, branch FROM (SELECT o_orderkey, 'large' AS branch, o_totalprice > 100000 AS a, o_orderstatus = 'O' AS b FROM orders UNION ALL SELECT o_orderkey, 'open', o_totalprice > 100000, o_orderstatus = 'O' FROM orders) WHERE a AND b""")
+def parallel_require_all(t: Tables):
+    branches = {"large": lambda d: d.where("o_totalprice > 100000"), "open": lambda d: d.where("o_orderstatus = 'O'")}
+    return op.parallel_required(t.orders, branches, ["o_orderkey"]).select("o_orderkey", "branch")
+
+
+@query("""SELECT event_id, CASE WHEN event_type LIKE 'err%' THEN 'retry' WHEN event_type = 'view' THEN 'skip' ELSE 'dead_letter' END AS policy FROM events""")
+def error_policies(t: Tables):
+    by = op.by_error_class(t.events, "event_type", {"err*": "retry", "view": "skip"})
+    parts = [by[p].select("event_id", F.lit(p).alias("policy")) for p in ("retry", "skip", "dead_letter", "fail")]
+    return op.merge(*parts)

@@ -91,3 +91,11 @@ def procedural_rule(t: Tables):
         d.Act("log"),
     ]
     return d.procedure(t.orders, rule).select("o_orderkey", "score", F.concat_ws(",", "actions").alias("actions"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_totalprice > 200000 THEN ['flag_for_review', 'send_alert'] WHEN o_totalprice > 100000 THEN ['require_verification'] ELSE ['approve_transaction'] END AS acts FROM orders)
+SELECT o_orderkey, CAST(i - 1 AS INT) AS place, acts[i] AS action, CASE acts[i] WHEN 'send_alert' THEN 'communication' WHEN 'approve_transaction' THEN 'transaction_authorization' ELSE 'risk_management' END AS category FROM a, UNNEST(range(1, len(acts) + 1)) AS u(i)""")
+def action_catalogue(t: Tables):
+    price = F.col("o_totalprice")
+    rules = [d.If([(price > 200000, [d.act("flagForReview"), d.act("sendAlert")]), (price > 100000, [d.act("requireVerification")])], [d.act("approveTransaction")])]
+    return d.action_requests(d.procedure(t.orders, rules), ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "place", "action", "category")

@@ -93,3 +93,29 @@ def migration_map(t: Tables):
 def reference_entries(t: Tables):
     e = sc.entries(t.spark, [("O", "open"), ("F", "filled"), ("P", "partial")], "code string, label string", ["P"])
     return t.orders.join(F.broadcast(e), F.col("o_orderstatus") == F.col("code"), "left").select("o_orderkey", "label", "deprecated")
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, ts, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+f AS (SELECT user_id, event_id, r, ts AS since, CAST(1 AS BIGINT) AS counter FROM s WHERE r = 1 UNION ALL
+SELECT s.user_id, s.event_id, s.r, CASE WHEN s.ts > f.since + INTERVAL 1 DAY THEN s.ts ELSE f.since END, CASE WHEN s.ts > f.since + INTERVAL 1 DAY THEN 1 ELSE f.counter + 1 END FROM f JOIN s ON s.user_id = f.user_id AND s.r = f.r + 1)
+SELECT event_id, counter FROM f""")
+def state_ttl_absolute(t: Tables):
+    return op.counter_with_absolute_ttl(t.events, ["user_id"], "ts", ["event_id"], "1 day").select("event_id", "counter")
+
+
+@query("""SELECT event_id, p AS from_state, event_type AS to_state, CASE WHEN NOT (event_type = 'error' OR (p = 'view' AND event_type = 'click') OR (p = 'click' AND event_type = 'purchase')) THEN NULL WHEN p = 'click' AND event_type = 'purchase' THEN 'celebrate' WHEN event_type = 'error' THEN 'report' END AS action
+FROM (SELECT event_id, event_type, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p <> event_type""")
+def state_transitions(t: Tables):
+    m = op.StateMachine("view", {"*": ["error"], "view": ["click"], "click": ["purchase"]})
+    moved = m.transitions(t.events, ["user_id"], ["ts", "event_id"], "event_type", {("*", "error"): "report", ("click", "purchase"): "celebrate"})
+    return moved.select("event_id", "from_state", "to_state", "action")
+
+
+@query("""WITH e AS (SELECT MIN(ts) AS a FROM events WHERE event_type = 'error'), p AS (SELECT MIN(ts) AS a FROM events WHERE value > 99),
+q AS (SELECT MIN(ts) + INTERVAL 3 HOUR AS a FROM (SELECT ts, LEAD(ts) OVER (ORDER BY ts) AS n FROM events) WHERE n IS NULL OR n > ts + INTERVAL 3 HOUR)
+SELECT 'both' AS marker, GREATEST((SELECT a FROM e), (SELECT a FROM p)) AS at UNION ALL SELECT 'either', LEAST((SELECT a FROM e), (SELECT a FROM p)) UNION ALL SELECT 'later', (SELECT a FROM e) + INTERVAL 2 HOUR UNION ALL SELECT 'drained', a FROM q""")
+def marker_conditions(t: Tables):
+    e, p = (op.marker_at_signal(t.events, n, "ts", c) for n, c in (("error", F.col("event_type") == "error"), ("peak", F.col("value") > 99)))
+    known = e.unionByName(p)
+    out = op.marker_of(known, "both", ["error", "peak"]).unionByName(op.marker_of(known, "either", ["error", "peak"], every=False))
+    return out.unionByName(op.marker_after(known, "later", "error", "2 hours")).unionByName(op.marker_when_drained(t.events, "drained", "ts", "3 hours"))

@@ -263,11 +263,12 @@ def candidates(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
         by_bucket = dict(spread((key[lead] % np.uint64(buckets)).astype(np.int64), buckets))
         by_set = dict(spread((identity % np.uint64(buckets)).astype(np.int64), buckets))
         edges = pack(a=alike[0], b=alike[1])
-        for bucket in sorted({*by_bucket, *by_set}):
+        some = sorted({*by_bucket, *by_set})
+        bearer = some[int(mix(doc[:1].astype(np.uint64))[0] % np.uint64(len(some)))]  # of the task's own edges; another one for each task
+        for bucket in some:
             at = lead[by_bucket.get(bucket, np.zeros(0, np.int64))]
             ids = by_set.get(bucket, np.zeros(0, np.int64))
-            yield bucket, pack(doc=doc[who[at]], key=key[at], set=identity[who[at]]), pack(doc=doc[ids], identity=identity[ids], size=size[ids], words=np.diff(begin)[ids]), pack(word=drawn[_expanded(begin[ids], np.diff(begin)[ids])[1]]), edges
-            edges = b""
+            yield bucket, pack(doc=doc[who[at]], key=key[at], set=identity[who[at]]), pack(doc=doc[ids], identity=identity[ids], size=size[ids], words=np.diff(begin)[ids]), pack(word=drawn[_expanded(begin[ids], np.diff(begin)[ids])[1]]), edges if bucket == bearer else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

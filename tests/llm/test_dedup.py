@@ -156,7 +156,7 @@ def test_frequent_grams_go_their_own_way(spark, monkeypatch):
     rows = [(i, f"{say(r.randint(0, 9))} {phrase} {say(r.randint(0, 9))} {say(25) if i % 3 else 'the same end of twenty words ' * 4}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     for symbols, rule in ((substring.symbols, substring.RULE), (suffixtree.symbols, suffixtree.RULE)):
-        assert len(repeats.frequent_grams(docs, symbols, rule, 20)) > 0
+        assert len(repeats.frequent_grams(docs, symbols, rule, 20, 10**6)) > 0
     same(substring.dedup_substrings(docs, 20), brute_bytes(rows))
     same(suffixtree.dedup_words(docs, 20), brute_words(rows))
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.store import buckets_for
+from tidewright.llm.store import buckets_for, text_bytes
 from tidewright.llm.textkernel import _power, chunks, flat, mix, owner, prefix_hash, sliding_min, span_hash, windows
 
 #: Anchors that a task holds before it sends them off; bits of a place in the order of anchors; symbols anchored together.
@@ -161,9 +161,8 @@ def firsts(rule: Rule, doc: np.ndarray, place: np.ndarray, *keys: np.ndarray) ->
     return order, later
 
 
-def frequent_grams(docs: DataFrame, symbols: Symbols, rule: Rule, large: int) -> np.ndarray:
-    """Hashes (ascending) of q-grams that, by a sample of documents, are in more than about `large` neighbourhoods."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+def frequent_grams(docs: DataFrame, symbols: Symbols, rule: Rule, large: int, size: int) -> np.ndarray:
+    """Hashes (ascending) of q-grams that, by a sample of documents (of `size` bytes in all), are in more than about `large` neighbourhoods."""
     one_in = max(ONE_IN, -(-size // SAMPLE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +186,25 @@ def listed(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == values
 
 
-def send_anchors(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int, hot: np.ndarray) -> DataFrame:
-    """One row for each task's share of a bucket: anchors to be compared, and anchors known to repeat."""
+#: A task's share of a bucket: anchors to be compared and anchors known to repeat; or rows that pass by (see DEALT).
+SENT = "bucket int, fresh binary, known binary, kind string, blob binary"
+COMPARED = "home int, full binary, rest binary, bucket int, kind string, blob binary"
 
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def send_anchors(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int, homes: int, hot: np.ndarray) -> DataFrame:
+    """Every task's anchors for their buckets, and the windows of frequent q-grams, dealt out one by one."""
+
+    def deal(windows_: list) -> pa.RecordBatch:
+        return _batch(SENT, [(bucket, None, None, kind, blob) for bucket, kind, blob in deal_windows(rule, windows_, buckets, homes)])
+
+    def flush(held: list) -> pa.RecordBatch:
         doc, place, gram, near = (np.concatenate(x) for x in zip(*held))
         order, later = firsts(rule, doc, place, gram, near)
         known = np.zeros(len(doc), bool)
@@ -201,34 +215,49 @@ def send_anchors(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int, ho
             some = by_doc[some]
             new, old = some[~known[some]], some[known[some]]
             high = (gram[new] >> np.uint64(32)).astype(np.uint32)
-            rows.append((bucket, pack(doc=doc[new], place=place[new].astype(np.uint32), gram=high, near=near[new]), pack(doc=doc[old], place=place[old].astype(np.uint32))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "fresh", "known"])
+            rows.append((bucket, pack(doc=doc[new], place=place[new].astype(np.uint32), gram=high, near=near[new]), pack(doc=doc[old], place=place[old].astype(np.uint32)), None, None))
+        return _batch(SENT, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, windows_, many = [], 0, [], 0
         for batch in chunks(batches):
             ids = ids_of(batch.column(0))
-            d, place, gram, near = anchors(*symbols(*flat(batch.column(1))), rule)
-            some = ~listed(gram, hot)
-            if some.any():
-                held.append((ids[d[some]], place[some], gram[some], near[some]))
-                size += int(some.sum())
+            symbol, off = symbols(*flat(batch.column(1)))
+            d, place, gram, near = anchors(symbol, off, rule)
+            often = listed(gram, hot)
+            if often.any():
+                first, last = window_range(rule, off, d[often], place[often])
+                starts = np.flatnonzero(union(len(symbol), first, last))
+                windows_.append(window_records(rule, symbol, off, ids, starts))
+                many += len(starts)
+                d, place, gram, near = d[~often], place[~often], gram[~often], near[~often]
+            if len(d):
+                held.append((ids[d], place, gram, near))
+                size += len(d)
             if size >= HELD:
-                yield from flush(held)
+                yield flush(held)
                 held, size = [], 0
+            if many >= HELD:
+                yield deal(windows_)
+                windows_, many = [], 0
         if size:
-            yield from flush(held)
+            yield flush(held)
+        if many:
+            yield deal(windows_)
 
-    return docs.mapInArrow(run, "bucket int, fresh binary, known binary")
+    return docs.mapInArrow(run, SENT)
 
 
 def compare_anchors(sent: DataFrame, rule: Rule, homes: int, large: int) -> DataFrame:
     """For each home (group of documents): anchors that repeat with all their windows, and anchors that need refinement."""
 
     def run(table):
-        sure = unpack(table["known"].to_pylist())
-        a = unpack(table["fresh"].to_pylist())
         bucket = table["bucket"][0].as_py()
+        by = [(home, None, None, bucket, kind, blob) for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist()) if kind for home in [int(kind[5:]) if kind.startswith("done") else bucket % homes]]
+        sure = unpack([b for b in table["known"].to_pylist() if b])
+        a = unpack([b for b in table["fresh"].to_pylist() if b])
+        if not a:
+            return pa.Table.from_batches([_batch(COMPARED, by)])
         near = a["near"]
         order, later = firsts(rule, a["doc"], a["place"], a["gram"], near)
         gram = a["gram"][order]
@@ -250,9 +279,9 @@ def compare_anchors(sent: DataFrame, rule: Rule, homes: int, large: int) -> Data
             some = some[np.argsort(a["doc"][rest[some]], kind="stable")]
             at = rest[some]
             rows.setdefault(home, [None, None])[1] = pack(doc=a["doc"][at], place=a["place"][at], gram=a["gram"][at], bucket=np.full(len(at), bucket, np.int32), crowd=crowd[some])
-        return pa.table([pa.array(list(rows), pa.int32()), pa.array([r[0] for r in rows.values()], pa.binary()), pa.array([r[1] for r in rows.values()], pa.binary())], ["home", "full", "rest"])
+        return pa.Table.from_batches([_batch(COMPARED, [(home, *r, None, None, None) for home, r in rows.items()] + by)])
 
-    return sent.groupBy("bucket").applyInArrow(run, "home int, full binary, rest binary")
+    return sent.groupBy("bucket").applyInArrow(run, COMPARED)
 
 
 def _home(doc: np.ndarray, homes: int) -> np.ndarray:
@@ -329,33 +358,6 @@ def window_range(rule: Rule, off: np.ndarray, d: np.ndarray, place: np.ndarray)
 DEALT = "bucket int, kind string, blob binary"
 
 
-def _dealt(rows: list[tuple[int, str, bytes]]) -> pa.Table:
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "blob"])
-
-
-def send_windows(docs: DataFrame, symbols: Symbols, rule: Rule, buckets: int, homes: int, hot: np.ndarray) -> DataFrame:
-    """The windows of frequent q-grams, dealt out one by one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in chunks(batches):
-            symbol, off = symbols(*flat(batch.column(1)))
-            d, place, gram, _ = anchors(symbol, off, rule)
-            some = listed(gram, hot)
-            if some.any():
-                first, last = window_range(rule, off, d[some], place[some])
-                starts = np.flatnonzero(union(len(symbol), first, last))
-                held.append(window_records(rule, symbol, off, ids_of(batch.column(0)), starts))
-                size += len(starts)
-            if size >= HELD:
-                yield from _dealt(list(deal_windows(rule, held, buckets, homes))).to_batches()
-                held, size = [], 0
-        if size:
-            yield from _dealt(list(deal_windows(rule, held, buckets, homes))).to_batches()
-
-    return docs.mapInArrow(run, DEALT)
-
-
 def repeated_windows(rule: Rule, a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Document and start of the windows that came earlier."""
     order, later = firsts(rule, a["doc"], a["place"], a["window"])
@@ -379,18 +381,18 @@ Gather = Callable[[Rule, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[st
 Refine = Callable[[Rule, list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols, rule: Rule, buckets: int, homes: int, gather: Gather, refine: Refine, more: DataFrame | None = None) -> DataFrame:
+def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols, rule: Rule, buckets: int, homes: int, gather: Gather, refine: Refine) -> DataFrame:
     """Intervals of repeated window starts, as rows (home, blob).
 
     Beside their documents, anchors that repeat become intervals; open ones are
     gathered (by `gather`, or in overfull buckets window by window), dealt out
-    again with the windows that were dealt before (`more`), and what `refine` (or
+    again with the windows that were dealt before, and what `refine` (or
     the windows' identifiers) finds to repeat becomes intervals, too.
     """
 
     def beside(left, right):
         full, rest = sorted_by_doc(unpack([b for b in right["full"].to_pylist() if b])), sorted_by_doc(unpack([b for b in right["rest"].to_pylist() if b]))
-        rows: list[tuple[int, str, bytes]] = []
+        rows: list[tuple[int, str, bytes]] = [x for x in zip(right["bucket"].to_pylist(), right["kind"].to_pylist(), right["blob"].to_pylist()) if x[1]]
         if (full or rest) and left.num_rows:
             home = left["home"][0].as_py()
             done, windows_ = [], []
@@ -428,7 +430,7 @@ def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols,
                 rows.append((home % buckets, f"done {home}", pack(**_joined(done))))
             if windows_:
                 rows.extend(deal_windows(rule, windows_, buckets, homes))
-        return _dealt(rows)
+        return pa.Table.from_batches([_batch(DEALT, rows)])
 
     def resolve(table):
         by: dict[str, list[bytes]] = {}
@@ -449,7 +451,6 @@ def refine_anchors(home_docs: DataFrame, compared: DataFrame, symbols: Symbols,
         return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["home", "blob"])
 
     dealt = home_docs.groupBy("home").cogroup(compared.groupBy("home")).applyInArrow(beside, DEALT)
-    dealt = dealt if more is None else dealt.unionByName(more)
     return dealt.groupBy("bucket").applyInArrow(resolve, "home int, blob binary")
 
 
@@ -485,18 +486,18 @@ def covered(rule: Rule, off: np.ndarray, ids: np.ndarray, a: dict[str, np.ndarra
     return union(int(off[-1]), off[row][ok] + first[ok], off[row][ok] + last[ok] + rule.length - 1)
 
 
+def sizes(docs: DataFrame, size: int | None = None) -> tuple[int, int]:
+    """Buckets and homes for the size of the texts (counted if it is not given), the latter a prime, for ids that come in steps."""
+    n = buckets_for(docs, text_bytes(docs) if size is None else size)
+    return n, prime_over(2 * n)
+
+
 def repeated_starts(docs: DataFrame, symbols: Symbols, rule: Rule, large: int, gather: Gather, refine: Refine) -> tuple[DataFrame, DataFrame]:
     """Documents by home, and intervals of the starts of windows that came earlier, as rows (home, blob)."""
-    buckets, homes = sizes(docs)
+    size = text_bytes(docs)
+    buckets, homes = sizes(docs, size)
     home_docs = housed(docs, homes)
     texts = home_docs.select("doc_id", "text")
-    hot = frequent_grams(texts, symbols, rule, large)
-    compared = compare_anchors(send_anchors(texts, symbols, rule, buckets, hot), rule, homes, large)
-    more = send_windows(texts, symbols, rule, buckets, homes, hot) if len(hot) else None
-    return home_docs, refine_anchors(home_docs, compared, symbols, rule, buckets, homes, gather, refine, more)
-
-
-def sizes(docs: DataFrame) -> tuple[int, int]:
-    """Buckets and homes for the size of the texts, the latter a prime, for ids that come in steps."""
-    n = buckets_for(docs)
-    return n, prime_over(2 * n)
+    hot = frequent_grams(texts, symbols, rule, large, size)
+    compared = compare_anchors(send_anchors(texts, symbols, rule, buckets, homes, hot), rule, homes, large)
+    return home_docs, refine_anchors(home_docs, compared, symbols, rule, buckets, homes, gather, refine)

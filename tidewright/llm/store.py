@@ -32,9 +32,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """As many buckets as the session has shuffle partitions, and more where the texts need them."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+
+
+def buckets_for(docs: DataFrame, size: int) -> int:
+    """As many buckets as the session has shuffle partitions, and more where texts of `size` bytes need them."""
     return max(partitions(docs.sparkSession), math.ceil(size / BUCKET_BYTES))
 
 
